@@ -30,12 +30,24 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaline.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"), folds=3, fold=1)
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessaline.llm.piece_codec import piece_digests
 
     return piece_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaline.llm.toxicity import detect
+
+    return detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, fold=0)
+
+
 def op9_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessaline.llm.shuffle_shards import shuffle_shards
 
@@ -76,7 +88,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_token_counts": op2_token_counts,
+        "op3_language_id": op3_language_id,
         "op5_piece_codec": op5_piece_codec,
+        "op8_toxicity": op8_toxicity,
         "op9_shuffle_shards": op9_shuffle_shards,
         "op10_line_dedup": op10_line_dedup,
     }
