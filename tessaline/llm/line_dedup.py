@@ -25,14 +25,14 @@ MIN_CHARS, MIN_DOCS = 10, 2
 
 
 def line_key(line: Column) -> Column:
-    """A-Z lower-cased, ASCII blanks off both ends."""
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+    """A-Z lower-cased, ASCII blanks off both ends; pure ASCII lines take the fast lower()."""
+    bare = F.btrim(line, F.lit(BLANKS))
+    return F.when(F.octet_length(line) == F.char_length(line), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def line_hash(line: Column, min_chars: int) -> Column:
-    """128 bits of a line's key; null for keys that are too short to count."""
-    key = line_key(line)
-    return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b")))
+def line_hashes(lines: Column, min_chars: int) -> Column:
+    """128 bits of each line's key, in order; null for keys that are too short to count."""
+    return F.transform(F.transform(lines, line_key), lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(7), k).alias("b"))))
 
 
 def lines_of(text: Column) -> Column:
@@ -41,7 +41,7 @@ def lines_of(text: Column) -> Column:
 
 def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(hash, keeper): hashes in at least `min_docs` distinct documents, and the smallest doc_id with them."""
-    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.transform(lines_of(F.col("text")), lambda x: line_hash(x, min_chars))).alias("hash")).where("hash IS NOT NULL")
+    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(line_hashes(lines_of(F.col("text")), min_chars)).alias("hash")).where("hash IS NOT NULL")
     if min_docs == 2:  # two distinct documents: the smallest and the largest differ
         return lines.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("hash", "keeper")
     distinct = lines.groupBy("hash", "doc_id").agg(F.lit(1).alias("one"))
@@ -50,7 +50,7 @@ def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, hashes): for every document that loses lines, their hashes."""
-    held = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: line_hash(x, min_chars)))).alias("hash")).where("hash IS NOT NULL")
+    held = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.array_distinct(line_hashes(lines_of(F.col("text")), min_chars))).alias("hash")).where("hash IS NOT NULL")
     return held.join(frequent_lines(docs, min_chars, min_docs), "hash").where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
 
 
@@ -58,7 +58,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """The input's columns with `text` cut, then n_lines and n_dropped (an input column of those names is replaced)."""
     gone = dropped_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("__gone_id"), F.col("hashes").alias("__gone"))
     lines = lines_of(F.col("text"))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__gone"), line_hash(x, min_chars)), F.lit(False)))
+    paired = F.arrays_zip(lines.alias("line"), line_hashes(lines, min_chars).alias("hash"))
+    kept = F.transform(F.filter(paired, lambda p: ~F.coalesce(F.array_contains(F.col("__gone"), p["hash"]), F.lit(False))), lambda p: p["line"])
     cut = F.col("__gone").isNotNull()
     out = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone_id"), "left").withColumn("__kept", F.when(cut, kept))
     n = F.size(lines).cast("long")
