@@ -42,6 +42,12 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaline.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, per_cent=85)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessaline.llm.toxicity import detect
 
@@ -90,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op2_token_counts": op2_token_counts,
         "op3_language_id": op3_language_id,
         "op5_piece_codec": op5_piece_codec,
+        "op7_minhash_dedup": op7_minhash_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_shuffle_shards": op9_shuffle_shards,
         "op10_line_dedup": op10_line_dedup,
