@@ -36,12 +36,24 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), folds=3, fold=1)
 
 
+def op4_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaline.llm.graph_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", radius=0.9)
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessaline.llm.piece_codec import piece_digests
 
     return piece_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op6_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaline.llm.ivfpq import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=50, top=5)
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessaline.llm.minhash import near_duplicates
 
@@ -95,7 +107,9 @@ def queries() -> dict[str, Query]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_token_counts": op2_token_counts,
         "op3_language_id": op3_language_id,
+        "op4_graph_dedup": op4_graph_dedup,
         "op5_piece_codec": op5_piece_codec,
+        "op6_ivfpq_search": op6_ivfpq_search,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_shuffle_shards": op9_shuffle_shards,
