@@ -9,11 +9,12 @@
    positions agree, the similarity has a Beta(m+1, n-m+1) posterior; a pair
    whose chance of reaching the threshold is under `miss` is dropped.
 4. Survivors are verified on full shingle sets, recomputed from the texts of
-   the documents concerned.
+   the documents concerned, which are set aside in one pass.
 5. Buckets that still hold more than one component are searched in full, across
    components only: members outside the bucket's main component are compared
-   with all members, block by block (`second_look`), so a link that the star of
-   step 2 did not show is not lost, and no bucket is ever held whole.
+   with all members, block by block, pruned as in step 3 and verified as in
+   step 4 where they meet (`second_look`), so a link that the star of step 2
+   did not show is not lost, and no bucket is ever held whole.
 
 Components are computed on links alone.  Nothing grows with the square of a
 group of copies, and no list of documents reaches the driver.
@@ -37,8 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import batch, cut
-from tessaline.llm.components import connected_components
+from tessaline.llm.common import batch, cut, stored
+from tessaline.llm.components import connected_components, local_roots
 
 MISS = 1e-6
 BAND_MISS = 2e-5
@@ -167,16 +168,12 @@ def plausible(pairs: DataFrame, reps: DataFrame, threshold: float, miss: float)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= per_cent * union on full sets.
+def verified(pairs: DataFrame, texts: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= per_cent * union on full sets; texts: (id, text).
 
-    The texts concerned are found in one pass over the corpus.  Partners of a are dealt into groups of about FAN;
-    a's text goes once to each group, ahead of its partners', and a task reads its groups as a stream.
+    Partners of a are dealt into groups of about FAN; a's text goes once to each group, ahead of its partners', and
+    a task reads its groups as a stream.
     """
-    pairs = cut(pairs.distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids.hint("shuffle_hash"), "id", "left_semi")
-    texts = cut(texts.dropDuplicates(["id"]))
     fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fans"))
     partners = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), "fans").cast("int").alias("fan"))
     heads = texts.join(fans, texts["id"] == fans["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
@@ -189,51 +186,72 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, per_cent: int) -> Da
             for a, kind, b, text in zip(x.column(0).to_pylist(), x.column(2).to_pylist(), x.column(3).to_pylist(), x.column(4)):
                 if kind == 0:
                     head, own = a, shingle_set(text.as_py(), width)
-                elif head == a:
-                    other = shingle_set(text.as_py(), width)
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    if both and 100 * both >= per_cent * (len(own) + len(other) - both):
-                        found.append((a, b))
+                elif head == a and linked(own, shingle_set(text.as_py(), width), per_cent):
+                    found.append((a, b))
             if found:
                 yield batch(PAIRS, list(zip(*found)))
 
     return heads.union(rest).repartition("a", "fan").sortWithinPartitions("a", "fan", "kind").mapInArrow(run, "a long, b long")
 
 
-def second_look(mixed: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Plausible pairs across components within buckets.
+def linked(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
+    if 100 * min(len(a), len(b)) < per_cent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= per_cent * (len(a) + len(b) - both)
 
-    mixed: key, n, main, rep, comp, sig of all members of buckets with several components.  A bucket is dealt into
-    blocks of about BLOCK members; members outside its main component visit every block.
+
+def second_look(mixed: DataFrame, width: int, per_cent: int, bands: int, rows: int, miss: float) -> DataFrame:
+    """Verified links (a, b) between the components of a bucket.
+
+    mixed: key, band, n, main, rep, comp, text of all members of buckets with several components.  A bucket is dealt
+    into blocks of about BLOCK members; members outside its main component visit every block.  Pairs are compared,
+    pruned and verified where they meet, each in the first band that it shares, and what leaves a task is a spanning
+    star over components.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = mixed.withColumn("blocks", blocks)
-    residents = dealt.select("key", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "rep", "comp", "sig")
-    visitors = dealt.where("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "rep", "comp", "sig")
-
-    def compare(home: list[tuple], guests: list[tuple]) -> list[tuple[int, int]]:
-        ids, comps = np.array([r[0] for r in home]), np.array([r[1] for r in home])
-        gids, gcomps = np.array([r[0] for r in guests]), np.array([r[1] for r in guests])
-        left, right = np.stack([np.frombuffer(r[2], np.uint32) for r in guests]), np.stack([np.frombuffer(r[2], np.uint32) for r in home])
-        i, j = np.nonzero(gcomps[:, None] != comps[None, :])
-        ok = survivors(left, right, i, j, threshold, miss)
-        a, b = gids[i[ok]], ids[j[ok]]
-        return list({(int(min(p)), int(max(p))) for p in zip(a, b)})
+    k = -(-bands * rows // STEP) * STEP
+    dealt = mixed.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("guest", F.col("comp") != F.col("main"))
+    residents = dealt.select("key", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "band", "rep", "comp", "guest", "text")
+    visitors = dealt.where("guest").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "band", "rep", "comp", "guest", "text")
+
+    def compare(band: int, home: list[tuple], guests: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        left, right = np.stack([g[4] for g in guests]), np.stack([h[4] for h in home])
+        ids, gids = np.array([h[0] for h in home]), np.array([g[0] for g in guests])
+        comps, gcomps = np.array([h[1] for h in home]), np.array([g[1] for g in guests])
+        also = np.array([h[2] for h in home])  # two guests meet in both their blocks
+        i, j = np.nonzero((gcomps[:, None] != comps[None, :]) & ~(also[None, :] & (gids[:, None] > ids[None, :])))
+        ok = survivors(left, right, i, j, per_cent / 100, miss)
+        i, j = i[ok], j[ok]
+        if band:
+            earlier = (left[i, : band * rows] == right[j, : band * rows]).reshape(len(i), band, rows).all(axis=2).any(axis=1)
+            i, j = i[~earlier], j[~earlier]
+        a, b = [], []
+        joined: set[tuple[int, int]] = set()
+        for x, y in zip(i.tolist(), j.tolist()):
+            link = (int(gcomps[x]), int(comps[y]))
+            if link not in joined and linked(guests[x][3], home[y][3], per_cent):
+                joined.add(link)
+                a.append(link[0])
+                b.append(link[1])
+        return np.array(a, np.int64), np.array(b, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, home, guests = None, [], []
+
+        def flush() -> list[pa.RecordBatch]:
+            if not home or not guests:
+                return []
+            a, b = local_roots(*compare(now[2], home, guests))
+            return [batch(PAIRS, [a, b])] if len(a) else []
+
         for x in batches:
-            found: list[tuple[int, int]] = []
-            for key, block, kind, rep, comp, sig in zip(*(c.to_pylist() for c in x.columns)):
-                if (key, block) != now or len(guests) >= BLOCK:
-                    if guests and home:
-                        found += compare(home, guests)
-                    home, guests, now = (home if (key, block) == now else []), [], (key, block)
-                (guests if kind else home).append((rep, comp, sig))
-            if found:
-                yield batch(PAIRS, list(zip(*found)))
-        if guests and home and (found := compare(home, guests)):
-            yield batch(PAIRS, list(zip(*found)))
+            for key, block, kind, band, rep, comp, guest, text in zip(*(c.to_pylist() for c in x.columns[:7]), x.column(7)):
+                if (key, block, band) != now or len(guests) >= BLOCK:
+                    yield from flush()
+                    home, guests, now = (home if (key, block, band) == now else []), [], (key, block, band)
+                own = shingle_set(text.as_py(), width)
+                (guests if kind else home).append((rep, comp, guest, own, signature(own, k)))
+        yield from flush()
 
     return residents.union(visitors).repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(run, "a long, b long")
 
@@ -243,25 +261,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, miss: f
     threshold = per_cent / 100
     bands, rows = bands_for(threshold)
     k = -(-bands * rows // STEP) * STEP
-    sigs = cut(signed(docs, width, k))
+    sigs = stored(signed(docs, width, k))
     usable = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = cut(usable.join(classes, ["h1", "h2"]).where("doc_id = rep").select("rep", "sig").dropDuplicates(["rep", "sig"]))
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * rows) + 1, F.lit(4 * rows))))
-    banded = cut(reps.select("rep", F.explode(keys).alias("key")))
+    banded = stored(usable.join(classes, ["h1", "h2"]).where("doc_id = rep").select("rep", F.posexplode(keys).alias("band", "key")))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("head < last")
-    shared = cut(banded.join(buckets.select("key", "head", "n"), "key"))
+    shared = stored(banded.join(buckets.select("key", "head", "n"), "key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = stored(texts.join(shared.select(F.col("rep").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi"))
     star = shared.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(plausible(star, reps, threshold, miss), docs, width, per_cent)
-    first = cut(connected_components(links, "a", "b"))
-    placed = shared.where("n > 2").join(first, shared["rep"] == first["node"], "left").select("key", "n", "head", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = cut(placed)
+    likely = cut(plausible(star, usable.select(F.col("doc_id").alias("rep"), "sig"), threshold, miss).distinct())
+    first = cut(connected_components(verified(likely, texts, width, per_cent), "a", "b"))
+    placed = shared.where("n > 2").join(first, shared["rep"] == first["node"], "left").select("key", "band", "n", "head", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = stored(placed)
     several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("rep") == F.col("head"), F.col("comp"))).alias("main")).where("low < high").select("key", "main")
-    mixed = placed.join(several, "key").join(reps, "rep").select("key", "n", "main", "rep", "comp", "sig")
-    more = verified(second_look(mixed, threshold, miss), docs, width, per_cent)
-    of = lambda side: F.coalesce(F.col(f"{side}.component"), F.col(f"more.{side}"))
-    lifted = more.alias("more").join(first.alias("a"), F.col("more.a") == F.col("a.node"), "left").join(first.alias("b"), F.col("more.b") == F.col("b.node"), "left").select(of("a").alias("a"), of("b").alias("b"))
-    second = connected_components(lifted, "a", "b").select(F.col("node").alias("was"), F.col("component").alias("now"))
+    mixed = placed.join(several, "key").join(texts, F.col("rep") == F.col("id")).select("key", "band", "n", "main", "rep", "comp", "text")
+    second = connected_components(second_look(mixed, width, per_cent, bands, rows, miss), "a", "b").select(F.col("node").alias("was"), F.col("component").alias("now"))
     known = first.join(second, first["component"] == second["was"], "left").select("node", F.coalesce("now", "component").alias("component"))
     extra = second.join(first, first["node"] == second["was"], "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
     final = known.union(extra)

@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaline.llm.byte_bpe import ByteBpe, byte_bpe
-from tessaline.llm.common import batch, code_points, slices
+from tessaline.llm.common import Memo, batch, code_points, slices
 
 CHUNK = 64
-MEMO = 400_000
+MEMO = 250_000
 
 CLASSES = SPACE, BLANK, LETTER, NUMBER, OTHER, QUOTE, S_END, R, V, L, E, BREAK = range(12)
 STATES = START, IN_L, IN_N, IN_O, SP1, WS1, WSP, WSW, AP, AP_R, AP_V, AP_L = range(12)
@@ -162,17 +162,13 @@ class Counter:
 
     def __init__(self, path: str):
         self.bpe = byte_bpe(path)
-        self.lexicon: dict[str, int] = {}
+        self.lexicon = Memo(self.emitted, MEMO)
         special = getattr(self.bpe, "special", {})
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.lexicon) + len(words) > MEMO:
-            self.lexicon.clear()
-        single = self.bpe.fast.encode_single_piece if hasattr(self.bpe.fast, "encode_single_piece") else None
-        for w in words:
-            raw = w.encode("utf-8", "surrogatepass")
-            self.lexicon[w] = len(single(raw)) if single else len(self.bpe.fast._core_bpe.encode_single_piece(raw))
+    def emitted(self, word: str) -> int:
+        """Tokens of one pretoken, by byte-pair merging."""
+        return len(self.bpe.fast._core_bpe.encode_single_piece(word.encode("utf-8", "surrogatepass"))) if word else 0
 
     def plain(self, texts: list[str]) -> list[int]:
         """Counts of texts without special strings; texts are parted by a virtual BREAK."""
@@ -187,18 +183,8 @@ class Counter:
         words = [joined[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(joined)])]
         is_break = classes[starts] == BREAK
         for k in np.flatnonzero(is_break).tolist():
-            words[k] = ""
-        known = self.lexicon
-        known[""] = 0
-        counts = [known.get(w) for w in words]
-        if None in counts:
-            self.learn({w for w, n in zip(words, counts) if n is None})
-            known = self.lexicon
-            known[""] = 0
-            missing = {w for w in words if w not in known}
-            if missing:
-                self.learn(missing)
-            counts = [known[w] for w in words]
+            words[k] = ""  # has no tokens
+        counts = list(map(self.lexicon.__getitem__, words))
         total = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
         bounds = np.append(np.flatnonzero(is_break), len(words))
         return (total[bounds[1:]] - total[bounds[:-1]]).tolist()

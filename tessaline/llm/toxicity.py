@@ -44,7 +44,7 @@ SPAN = 6  # bytes of an n-gram
 DISCOUNT = 0.75
 WINDOW = 2
 MAX_TOXIC, MAX_ORDINARY = 4_000, 12_000
-MEMO = 300_000
+MEMO = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -123,21 +123,24 @@ class Scorer:
     def __init__(self, model: KneserNey | None, slope: float = 1.0, middle: float = 0.0):
         self.model, self.slope, self.middle = model, slope, middle
         self.memo: dict[str, float] = {}
+        self.older: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "older": {}}
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """The strongest window of each whole text."""
         split = [words_of(t) for t in texts]
-        memo = self.memo
-        new = list({w for ws in split for w in ws if w not in memo})
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list({w for ws in split for w in ws})
+        known, older = self.memo, self.older
+        ratio = {w: known.get(w) or older.get(w) for w in {w for ws in split for w in ws}}
+        new = [w for w, r in ratio.items() if r is None]
         if new:
-            memo.update(zip(new, self.model.word_ratios(new).tolist()))
-        return np.array([strongest_window(np.array([memo[w] for w in ws])) for ws in split])
+            ratio.update(zip(new, self.model.word_ratios(new).tolist()))
+        if len(known) > MEMO:
+            self.memo, self.older = ratio, known
+        else:
+            known.update(ratio)
+        return np.array([strongest_window(np.array([ratio[w] for w in ws])) for ws in split])
 
     def score(self, texts: list[str]) -> np.ndarray:
         if self.model is None:
