@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """A column name like `name` that is not among those taken (upper and lower case are one name)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Honour spark.checkpoint.dir; a folder of our own only where it is unset (tests, local runs)."""
     sc = spark.sparkContext

@@ -11,7 +11,7 @@ by position from the array of its lines.
 Defined results: null and empty texts are one empty line; rows that repeat a
 doc_id count as one document and are cut alike; rows with a null doc_id never
 make a line frequent and lose nothing; an empty table gives no rows; other
-columns pass through untouched and cannot clash (working names are qualified).
+columns pass through untouched and cannot clash (working names avoid theirs).
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessaline.llm.common import fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 10, 2
@@ -56,11 +58,13 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The input's columns with `text` cut, then n_lines and n_dropped (an input column of those names is replaced)."""
-    gone = dropped_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("__gone_id"), F.col("hashes").alias("__gone"))
+    gone_id, hashes, rest = (fresh(docs.columns, c) for c in ("gone_id", "gone_hashes", "kept_lines"))
+    gone = dropped_lines(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias(gone_id), F.col("hashes").alias(hashes))
     lines = lines_of(F.col("text"))
     paired = F.arrays_zip(lines.alias("line"), line_hashes(lines, min_chars).alias("hash"))
-    kept = F.transform(F.filter(paired, lambda p: ~F.coalesce(F.array_contains(F.col("__gone"), p["hash"]), F.lit(False))), lambda p: p["line"])
-    cut = F.col("__gone").isNotNull()
-    out = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone_id"), "left").withColumn("__kept", F.when(cut, kept))
+    kept = F.transform(F.filter(paired, lambda p: ~F.coalesce(F.array_contains(F.col(hashes), p["hash"]), F.lit(False))), lambda p: p["line"])
+    cut = F.col(hashes).isNotNull()
+    out = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(gone_id), "left").withColumn(rest, F.when(cut, kept))
     n = F.size(lines).cast("long")
-    return out.select(*[F.when(cut, F.array_join("__kept", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")], n.alias("n_lines"), F.when(cut, n - F.size("__kept")).otherwise(0).cast("long").alias("n_dropped"))
+    columns = [F.when(cut, F.array_join(rest, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*columns, n.alias("n_lines"), F.when(cut, n - F.size(rest)).otherwise(0).cast("long").alias("n_dropped"))

@@ -31,41 +31,40 @@ def bucket_count(rows: DataFrame, bucket_bytes: int, size: Column) -> int:
 
 
 def scatter(rows: DataFrame, key: str, buckets: int, seed: int) -> DataFrame:
-    """Pass 1: a bucket number for each row, uniform whatever the keys are."""
-    return rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.monotonically_increasing_id()), F.lit(buckets)))
+    """Pass 1: (bucket, key, row), a bucket number for each row, uniform whatever the keys are."""
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.monotonically_increasing_id()), F.lit(buckets))
+    return rows.select(bucket.alias("bucket"), F.col(key).alias("key"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
 
 
-def permute(scattered: DataFrame, key: str, seed: int) -> DataFrame:
-    """Pass 2: Fisher-Yates within each bucket; columns __bucket, __row, __at (from 0).
+def permute(scattered: DataFrame, seed: int) -> DataFrame:
+    """Pass 2: Fisher-Yates within each bucket; columns bucket, row, at (from 0).
 
     Rows are sorted before they are permuted and buckets before the seeded
     permutations are drawn, so that a task that runs again draws the same.
     """
-    columns = [c for c in scattered.columns if c != "__bucket"]
-    tie = F.xxhash64(*[F.col(c) for c in columns])
-    row = F.struct(F.col(key).alias("__key"), tie.alias("__tie"), F.struct(*columns).alias("__row"))
-    gathered = scattered.groupBy("__bucket").agg(F.collect_list(row).alias("__rows")).sortWithinPartitions("__bucket")
-    drawn = gathered.select("__bucket", F.shuffle(F.transform(F.array_sort("__rows"), lambda r: r["__row"]), seed).alias("__rows"))
-    return drawn.select("__bucket", F.posexplode("__rows").alias("__at", "__row"))
+    gathered = scattered.groupBy("bucket").agg(F.collect_list(F.struct("key", F.xxhash64("row").alias("tie"), "row")).alias("rows")).sortWithinPartitions("bucket")
+    drawn = gathered.select("bucket", F.shuffle(F.transform(F.array_sort("rows"), lambda r: r["row"]), seed).alias("rows"))
+    return drawn.select("bucket", F.posexplode("rows").alias("at", "row"))
 
 
 def bucket_starts(counts: DataFrame) -> DataFrame:
-    """(bucket, start, total): prefix sums within groups of buckets, then over the groups."""
-    grouped = counts.withColumn("__group", F.floor(F.col("__bucket") / GROUP))
-    groups = grouped.groupBy("__group").agg(F.sum("n").alias("n"))
-    over = Window.orderBy("__group")
-    starts = groups.select("__group", (F.sum("n").over(over) - F.col("n")).alias("__base"), F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"))
-    within = F.sum("n").over(Window.partitionBy("__group").orderBy("__bucket")) - F.col("n")
-    return grouped.select("__bucket", "__group", within.alias("__within")).join(starts, "__group").select(F.col("__bucket").alias("__b"), (F.col("__base") + F.col("__within")).alias("__start"), "__total")
+    """(own, start, total): prefix sums within groups of buckets, then over the groups."""
+    dealt = counts.withColumn("group", F.floor(F.col("bucket") / GROUP))
+    groups = dealt.groupBy("group").agg(F.sum("n").alias("n"))
+    over = Window.orderBy("group")  # a row for each GROUP buckets
+    starts = groups.select("group", (F.sum("n").over(over) - F.col("n")).alias("base"), F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    within = F.sum("n").over(Window.partitionBy("group").orderBy("bucket")) - F.col("n")
+    return dealt.select(F.col("bucket").alias("own"), "group", within.alias("within")).join(starts, "group").select("own", (F.col("base") + F.col("within")).alias("start"), "total")
 
 
 def shuffle_shards(rows: DataFrame, key: str, size: Column, shards: int = 16, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The input's columns, then shard int and slot long, in a seeded uniform order."""
+    """The input's columns, then shard int and slot long (input columns of those names are replaced), in a seeded uniform order."""
     scattered = scatter(rows, key, bucket_count(rows, bucket_bytes, size), seed)
-    starts = bucket_starts(scattered.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")))
-    placed = permute(scattered, key, seed).join(starts, F.col("__bucket") == F.col("__b")).withColumn("__pos", F.col("__start") + F.col("__at"))
-    shard = F.expr(f"({shards} * (__pos + 1) + __total - 1) DIV __total - 1")
-    return placed.withColumn("__shard", shard).select("__row.*", F.col("__shard").cast("int").alias("shard"), F.expr(f"__pos - __shard * __total DIV {shards}").cast("long").alias("slot"))
+    starts = bucket_starts(scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+    placed = permute(scattered, seed).join(starts, F.col("bucket") == F.col("own")).select("row", (F.col("start") + F.col("at")).alias("pos"), "total")
+    numbered = placed.withColumn("nth", F.expr(f"({shards} * (pos + 1) + total - 1) DIV total - 1"))
+    own = [F.col(f"row.`{c}`") for c in rows.columns if c.lower() not in ("shard", "slot")]
+    return numbered.select(*own, F.col("nth").cast("int").alias("shard"), F.expr(f"pos - nth * total DIV {shards}").cast("long").alias("slot"))
 
 
 def write_shards(rows: DataFrame, path: str, key: str, size: Column, shards: int = 16, seed: int = 17) -> None:
