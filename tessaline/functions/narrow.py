@@ -42,8 +42,14 @@ def divide(a: Spec, b: Spec) -> Spec:
     return Spec(max(1, a.precision - b.precision + b.scale + EXTRA + 1, a.scale + EXTRA + 1), a.scale + EXTRA).capped()
 
 
+def roomy(a: Spec, b: Spec) -> Spec:
+    """What any quotient fits: `divide` declares fewer digits, which a divisor far below its type's range exceeds."""
+    return Spec(a.precision + b.scale + EXTRA, a.scale + EXTRA).capped()
+
+
 def modulo(a: Spec, b: Spec) -> Spec:
-    return Spec(max(b.precision, max(a.scale, b.scale) + 1), max(a.scale, b.scale)).capped()
+    s = max(a.scale, b.scale)
+    return Spec(max(b.precision - b.scale, 1) + s, s).capped()
 
 
 def average(a: Spec) -> Spec:

@@ -158,5 +158,7 @@ def add_interval(x: str, n: str, part: str, sign: int = 1) -> str:
         part, n = "MONTH", f"(3 * {n})"
     if part == "MICROSECOND":
         return f"timestampadd(MICROSECOND, {n}, {x})"
-    fields = {"YEAR": "years", "MONTH": "months", "WEEK": "weeks", "DAY": "days", "HOUR": "hours", "MINUTE": "mins", "SECOND": "secs"}
-    return f"({x} + make_interval({fields[part]} => {n}))"
+    fields = ["YEAR", "MONTH", "WEEK", "DAY", "HOUR", "MINUTE", "SECOND"]
+    at = fields.index(part)
+    start = x if at < 4 else f"CAST({x} AS TIMESTAMP)"
+    return f"({start} + make_interval({', '.join([*['0'] * at, n])}))"

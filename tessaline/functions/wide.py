@@ -145,18 +145,19 @@ def lift(x) -> Expr:
     return Const(parse(text, scale), scale)
 
 
-def spec(e: Expr) -> Spec:
+def spec(e: Expr, quotient: Callable[[Spec, Spec], Spec] = narrow.divide) -> Spec:
+    """Declared digits; with `narrow.roomy` for quotients, the digits that a result is stored in."""
     match e:
         case Col():
             return e.spec
         case Const():
             return Spec(max(1, len(str(abs(e.value))), e.scale), e.scale)
         case Negate():
-            return spec(e.arg)
+            return spec(e.arg, quotient)
         case Nary():
-            return reduce(narrow.add if e.op == "+" else narrow.multiply, map(spec, e.args))
+            return reduce(narrow.add if e.op == "+" else narrow.multiply, [spec(x, quotient) for x in e.args])
         case Binary():
-            return (narrow.divide if e.op == "/" else narrow.modulo)(spec(e.left), spec(e.right))
+            return (quotient if e.op == "/" else narrow.modulo)(spec(e.left, quotient), spec(e.right, quotient))
     raise TypeError(type(e))
 
 
@@ -300,7 +301,7 @@ def _native(e: Expr) -> Column:
 
 def compute(e: Expr, optimise: bool = True) -> Column:
     """The expression over wide (binary) or native decimal columns, as a wide column; one batch function for the tree."""
-    out = spec(e)
+    out = spec(e, narrow.roomy)
     e = simplify(e) if optimise else e
     size, names = width(out.precision), [c.name for c in columns(e)]
     specs = {c.name: c.spec for c in columns(e)}
@@ -371,14 +372,25 @@ def limbs(column: Column, precision: int) -> Column:
     return F.pandas_udf(run, T.ArrayType(T.LongType()))(column)
 
 
-def wide_sum(df: DataFrame, keys: list[str], column: str, s: Spec, name: str) -> DataFrame:
-    """keys, name (text): exact SUM per group; null for a group without values.  Good for 9 * 10^9 rows a group."""
-    n = -(-s.precision // 9)
-    split = df.select(*keys, limbs(F.col(column), s.precision).alias("__limbs"))
-    sums = split.groupBy(*keys).agg(*[F.sum(F.col("__limbs")[i]).alias(f"__{i}") for i in range(n)])
-    total = F.array(*[F.col(f"__{i}") for i in range(n)])
+def wide_sums(df: DataFrame, keys: list[str], parts: dict[str, tuple[Column, Spec]], *others: Column) -> DataFrame:
+    """keys, an exact SUM per group (text; null without values) for each of `parts`, and further aggregates.
+
+    Limbs are summed by partial and final aggregation; good for 9 * 10^9 rows a group.
+    """
+    split = df.select("*", *[limbs(c, s.precision).alias(f"__{name}") for name, (c, s) in parts.items()])
+    count = {name: -(-s.precision // 9) for name, (_, s) in parts.items()}
+    sums = split.groupBy(*keys).agg(*[F.sum(F.col(f"__{name}")[i]).alias(f"__{name}_{i}") for name, n in count.items() for i in range(n)], *others)
 
-    def carry(groups: pd.Series) -> pd.Series:
-        return pd.Series([None if g is None or g[0] is None else render(sum(int(v) * LIMB**i for i, v in enumerate(g)), s.scale) for g in groups], dtype=object)
+    def carried(scale: int) -> Callable[[pd.Series], pd.Series]:
+        def carry(groups: pd.Series) -> pd.Series:
+            return pd.Series([None if g is None or pd.isna(g[0]) else render(sum(int(v) * LIMB**i for i, v in enumerate(g)), scale) for g in groups], dtype=object)
 
-    return sums.select(*keys, F.pandas_udf(carry, T.StringType())(total).alias(name))
+        return carry
+
+    totals = [F.pandas_udf(carried(s.scale), T.StringType())(F.array(*[F.col(f"__{name}_{i}") for i in range(count[name])])).alias(name) for name, (_, s) in parts.items()]
+    return sums.select(*keys, *totals, *sums.columns[len(keys) + sum(count.values()) :])
+
+
+def wide_sum(df: DataFrame, keys: list[str], column: str, s: Spec, name: str) -> DataFrame:
+    """keys, name (text): exact SUM per group."""
+    return wide_sums(df, keys, {name: (F.col(column), s)})

@@ -25,7 +25,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Temporary views of the typed tables, for SQL."""
-    for name in names or CASTS:
+    for name in names:
         load(spark, sf_dir, name).createOrReplaceTempView(name)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,3 +20,12 @@ def session(app: str = "tessaline", master: str | None = None, **settings: str)
     """Get or create; a master is only set where none is configured."""
     builder = SparkSession.builder.appName(app).config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the one in spark.checkpoint.dir, or one of our own where that is unset."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessaline-"))
+    return f"{sc.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ def load_delimited(spark: SparkSession, path: str, schema: T.StructType, *, fiel
     """Typed rows of a file.
 
     Fields are read as text and cast, so that a bad or overflowing value is an error in strict mode and null
-    otherwise (a missing field is null); a null in a NOT NULL column is an error in strict mode.  `ignore` skips
+    otherwise (a missing field and an empty one outside quotes are null); a null in a NOT NULL column is an error in strict mode.  `ignore` skips
     first lines, `starting` is a prefix that a line must have and loses, a trailing separator adds no column.
     """
     names = [f.name for f in schema]

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def windowed(events: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Counts and sums per window and type; works on batch and streaming frames alike."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def follow(spark: SparkSession, folder: str, schema, sink: str, checkpoint: str, late: str = "1 hour", window: str = "1 day") -> StreamingQuery:
