@@ -35,7 +35,7 @@ def clustered(n, groups, seed=0, d=16, noise=0.05):
     return centres[rng.integers(0, groups, n)] + noise * rng.normal(size=(n, d))
 
 
-ODD = [(1, None), (2, [0.0] * 8), (3, [None] + [1.0] * 7), (4, [float("nan")] + [1.0] * 7), (5, [float("inf")] + [1.0] * 7), (6, [1.0] * 8), (7, [2.0] * 8), (8, [1.0] * 8), (9, [1.0] * 7 + [1.1]), (10, [-1.0] * 8), (11, [1.0, 0] * 4), (12, [])]
+ODD = [(1, None), (2, [0.0] * 8), (3, [None] + [1.0] * 7), (4, [float("nan")] + [1.0] * 7), (5, [float("inf")] + [1.0] * 7), (6, [1.0] * 8), (7, [2.0] * 8), (8, [1.0] * 8), (9, [1.0] * 7 + [1.1]), (10, [-1.0] * 8), (11, [1.0, 0.0] * 4), (12, [])]
 
 
 def test_links_on_the_table(spark, sf_dir):
