@@ -44,7 +44,7 @@ class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.path, self.fast, self._library = path, None, None
+        self.path, self.fast, self._library, self.confirmed = path, None, None, False
         if found := rank_table(spec):
             import tiktoken
 
@@ -65,6 +65,13 @@ class ByteBpe:
     def slow(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
+    def confirm(self, text: str) -> None:
+        """Hold the rank table against the library on a text, once for each worker; the library is let go again."""
+        if not self.confirmed and self.fast is not None:
+            if not np.array_equal(self.encode(text), self.slow(text)):
+                raise ValueError("the compiled rank table and the tokenizer file disagree")
+            self.confirmed, self._library = True, None
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of one whole text as uint32."""
         if not text:

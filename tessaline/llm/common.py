@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Code points handled at once by the vectorised text scanners; bounds a worker's memory.
 SLICE_CHARS = 1 << 20
+#: The same for scanners that keep several numbers for each byte.
+MODEL_CHARS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +74,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(first index, texts) runs of about `limit` characters; null counts as empty, long texts stand alone."""
+def slices(texts: list[str | None] | pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(first index, texts) runs of about `limit` characters; null counts as empty, long texts stand alone.
+
+    Of an Arrow column only the texts of one run are held as Python strings.
+    """
     first, size, run = 0, 0, []
     for i, t in enumerate(texts):
-        t = t or ""
+        t = (t.as_py() if isinstance(t, pa.Scalar) else t) or ""
         if run and size + len(t) > limit:
             yield first, run
             first, size, run = i, 0, []
@@ -93,3 +100,25 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker that waits stays alive beside those that work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task function, which trims its worker when it ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped

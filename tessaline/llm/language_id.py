@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import batch, slices
+from tessaline.llm.common import MODEL_CHARS, batch, slices, tidy
 from tessaline.llm.ngrams import KeyIndex, grams, padded_bytes
 
 ORDER = 4
@@ -144,11 +144,11 @@ def predict(docs: DataFrame, model: Ppm, folds: int = 3, fold: int = 1) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, texts in slices(b.column(2).to_pylist()):
+            for first, texts in slices(b.column(2), MODEL_CHARS):
                 n = len(texts)
                 yield batch(PREDICTED, [b.column(0).slice(first, n), b.column(1).slice(first, n), *map(list, zip(*shared.value.predict(texts)))])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, folds: int = 3, fold: int = 1, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
@@ -167,9 +167,9 @@ def keep_identified(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep: list[bool] = []
-            for _, texts in slices(b.column(at).to_pylist()):
+            for _, texts in slices(b.column(at), MODEL_CHARS):
                 keep += [lang != UNKNOWN for lang, _ in shared.value.predict(texts)]
             if any(keep):
                 yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

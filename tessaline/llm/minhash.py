@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import batch, cut, stored
+from tessaline.llm.common import batch, cut, stored, tidy
 from tessaline.llm.components import connected_components, local_roots
 
 MISS = 1e-6
@@ -143,7 +143,7 @@ def signed(docs: DataFrame, width: int, k: int) -> DataFrame:
                 sigs.append(signature(s, k).tobytes() if len(s) else None)
             yield batch(SIGNED, [b.column(0), n, h1, h2, sigs])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -165,7 +165,7 @@ def plausible(pairs: DataFrame, reps: DataFrame, threshold: float, miss: float)
 
     left = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
     right = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, per_cent: int) -> DataFrame:
@@ -191,7 +191,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, per_cent: int) -> D
             if found:
                 yield batch(PAIRS, list(zip(*found)))
 
-    return heads.union(rest).repartition("a", "fan").sortWithinPartitions("a", "fan", "kind").mapInArrow(run, "a long, b long")
+    return heads.union(rest).repartition("a", "fan").sortWithinPartitions("a", "fan", "kind").mapInArrow(tidy(run), "a long, b long")
 
 
 def linked(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
@@ -253,7 +253,7 @@ def second_look(mixed: DataFrame, width: int, per_cent: int, bands: int, rows: i
                 (guests if kind else home).append((rep, comp, guest, own, signature(own, k)))
         yield from flush()
 
-    return residents.union(visitors).repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(run, "a long, b long")
+    return residents.union(visitors).repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, miss: float = MISS) -> DataFrame:

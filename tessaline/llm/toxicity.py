@@ -2,7 +2,8 @@
 
 Two models of how words are spelt, one of toxic and one of ordinary documents,
 predict each byte of a word from the five before it (the word's start
-included).  Each takes an absolute discount from its own counts and gives the
+included).  Each takes discounts from its own counts, larger ones from larger
+counts (what one document alone says is given up whole), and gives the
 mass to one backoff distribution that both share: Kneser-Ney continuation
 counts of the two classes together.  An expression that is rare in both
 classes is therefore scored alike by both, and only what one class says
@@ -36,15 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import batch, cut, slices
+from tessaline.llm.common import MODEL_CHARS, batch, cut, slices, tidy
 from tessaline.llm.language_id import held_out
 from tessaline.llm.ngrams import KeyIndex, grams, padded_bytes
 
 SPAN = 6  # bytes of an n-gram
-DISCOUNT = 0.75
+DISCOUNT = 0.75  # of continuation counts
+DISCOUNTS = (1, 1.75, 2.5)  # of counts of one, two, and more documents
 WINDOW = 2
 MAX_TOXIC, MAX_ORDINARY = 4_000, 12_000
-MEMO = 200_000
+MEMO = 100_000
+CHUNK = 50_000  # words whose n-grams are held at once while counting
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -68,15 +71,26 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return found, np.bincount(inverse, values, minlength=len(found)), inverse
 
 
+def pooled_grams(words: list[str] | pa.Array, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All n-grams that either class has, and their counts in each; words are spelt out a chunk at a time."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros((2, 0))
+    for i in range(0, len(words), CHUNK):
+        part = words[i : i + CHUNK]
+        key, owner, _ = word_grams(part.to_pylist() if isinstance(part, pa.Array) else part)
+        own, inverse = np.unique(key, return_inverse=True)
+        new = np.stack([np.bincount(inverse, n[i : i + CHUNK][owner].astype(float), minlength=len(own)) for n in (toxic, ordinary)])
+        merged, inverse = np.unique(np.concatenate([keys, own]), return_inverse=True)
+        both = np.hstack([counts, new])
+        keys, counts = merged, np.stack([np.bincount(inverse, c, minlength=len(merged)) for c in both])
+    now = counts.sum(axis=0) > 0
+    return keys[now], [c[now] for c in counts]
+
+
 class KneserNey:
     """Log ratio of the two classes for every n-gram and, where an n-gram is new, for its context."""
 
-    def __init__(self, words: list[str], toxic: np.ndarray, ordinary: np.ndarray):
-        key, owner, _ = word_grams(words)
-        pooled, inverse = np.unique(key, return_inverse=True)
-        classes = [np.bincount(inverse, n[owner].astype(float), minlength=len(pooled)) for n in (toxic, ordinary)]
-        pooled_now = (classes[0] + classes[1]) > 0
-        pooled, classes = pooled[pooled_now], [c[pooled_now] for c in classes]
+    def __init__(self, words: list[str] | pa.Array, toxic: np.ndarray, ordinary: np.ndarray):
+        pooled, classes = pooled_grams(words, toxic, ordinary)
         low = lambda k, n: k & np.uint64((1 << 8 * n) - 1)
         # shared backoff: continuation counts over both classes, two levels down to near-uniform bytes
         five, n5, at5 = _sums(low(pooled, SPAN - 1), np.ones(len(pooled)))
@@ -90,9 +104,10 @@ class KneserNey:
         logs, escapes = [], []
         for n in classes:
             total = np.bincount(of, n, minlength=len(context))
-            freed = np.bincount(of, np.minimum(n, DISCOUNT), minlength=len(context))
+            taken = np.select([n <= 0, n < 1.5, n < 2.5], [0, *DISCOUNTS[:2]], DISCOUNTS[2])
+            freed = np.bincount(of, taken, minlength=len(context))
             weight = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
-            p = np.where(total[of] > 0, np.maximum(n - DISCOUNT, 0) / np.maximum(total[of], 1), 0) + weight[of] * shared[at5]
+            p = np.where(total[of] > 0, (n - taken) / np.maximum(total[of], 1), 0) + weight[of] * shared[at5]
             logs.append(np.log(p))
             escapes.append(np.log(weight))
         self.index, self.ratio = KeyIndex(pooled), (logs[0] - logs[1]).astype(np.float32)
@@ -191,19 +206,18 @@ def word_counts(rows: DataFrame) -> DataFrame:
         if seen:
             yield batch(COUNTED, [[k[0] for k in seen], [k[1] for k in seen], list(seen.values())])
 
-    return rows.select("text", "toxic", "fold").mapInArrow(run, "word string, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n"))
+    return rows.select("text", "toxic", "fold").mapInArrow(tidy(run), "word string, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Scorer:
     """Counts on three folds and a calibration on the fourth; then counts on all four."""
     rows = cut(sample(docs, labels, max_toxic, max_ordinary))
     counts = word_counts(rows).toArrow()
-    words, kinds, n = counts.column("word").to_pylist(), counts.column("kind").to_numpy(), counts.column("n").to_numpy()
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    of = np.fromiter((vocabulary[w] for w in words), np.int64, len(words))
-    table = np.zeros((4, len(vocabulary)))
+    kinds, n = counts.column("kind").to_numpy(), counts.column("n").to_numpy()
+    coded = counts.column("word").combine_chunks().dictionary_encode()
+    of, every = coded.indices.to_numpy(), coded.dictionary
+    table = np.zeros((4, len(every)), np.float32)
     table[kinds, of] = n
-    every = list(vocabulary)
     if not table[[0, 2]].any() or not table[[1, 3]].any():
         return Scorer(None)
     partial = Scorer(KneserNey(every, table[1], table[0])) if table[0].any() and table[1].any() else Scorer(KneserNey(every, table[1] + table[3], table[0] + table[2]))
@@ -211,10 +225,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_or
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, texts in slices(b.column(0).to_pylist()):
+            for first, texts in slices(b.column(0), MODEL_CHARS):
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(first, len(texts)), pa.array(shared.value.evidence(texts))], ["toxic", "evidence"])
 
-    seen = rows.where("fold = 3").select("text", "toxic").mapInArrow(run, "toxic int, evidence double").toArrow()
+    seen = rows.where("fold = 3").select("text", "toxic").mapInArrow(tidy(run), "toxic int, evidence double").toArrow()
     slope, middle = calibrate(seen.column("evidence").to_numpy(), seen.column("toxic").to_numpy() == 1)
     return Scorer(KneserNey(every, table[1] + table[3], table[0] + table[2]), slope, middle)
 
@@ -228,11 +242,11 @@ def score(docs: DataFrame, scorer: Scorer, folds: int = 5, fold: int = 0) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, texts in slices(b.column(2).to_pylist()):
+            for first, texts in slices(b.column(2), MODEL_CHARS):
                 n, got = len(texts), shared.value.score(texts)
                 yield batch(SCORED, [b.column(0).slice(first, n), b.column(1).slice(first, n), got, (got >= 0.5).astype(np.int32)])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def detect(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, **bounds: int) -> DataFrame:
@@ -247,8 +261,8 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = np.concatenate([shared.value.score(t) for _, t in slices(b.column(at).to_pylist())] or [np.zeros(0)]) < 0.5
+            keep = np.concatenate([shared.value.score(t) for _, t in slices(b.column(at), MODEL_CHARS)] or [np.zeros(0)]) < 0.5
             if keep.any():
                 yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
