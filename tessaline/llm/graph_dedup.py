@@ -14,9 +14,14 @@
 5. Verify.  Pairs in range are checked by cosine in double precision on the
    original vectors.  A task emits numbers of links and, for components, a
    spanning star of what it found, never the pairs of a group.
-6. Audit.  For a bounded random set of vectors the links are counted by brute
-   force over all rows; while recall is under TARGET the beam and the overlap
-   widen and the search is repeated.  `audit_recall` is returned.
+6. Audit.  Real vectors drawn at random and probes, which are vectors moved to
+   a cosine between the radius and 1, have their links counted by brute force
+   over all rows; each probe has one at least, however rare links are.  Probes
+   are searched like any vector, but nothing finds them.  Recall is the mean
+   over vectors of the share of links found, so a large group weighs no more
+   than a pair; while it is under TARGET the beam and the overlap widen and the
+   search is repeated, until every vector is in every shard.  The recall
+   reached is returned as `audit_recall`.
 
 Defined results: null, zero and non-finite vectors, those of an uncommon
 length and rows with a null id link with nothing and are their own component
@@ -41,7 +46,7 @@ from tessaline.llm.vectors import class_hash, cosines, kmeans, matrix, nearest,
 SHARD, MAX_SHARDS, BLOCK = 1000, 1024, 2048
 POOL, NEAR, FAR, ALPHA = 32, 16, 4, 1.2
 BEAM, OVERLAP = 24, 2
-AUDIT, TARGET = 96, 0.98
+AUDIT, PROBES, ENOUGH, TARGET = 2048, 256, 30, 0.98  # ENOUGH audited vectors with links are a measure of their own
 SLACK = 1e-4  # navigation is in single precision
 
 
@@ -140,7 +145,7 @@ def united(names: np.ndarray, found: list[tuple[int, list[int]]]) -> list[np.nda
 
 SHARDED_DDL = "shard int, block int, kind int, id long, mult long, shards array<int>, blocks array<int>, v array<double>, near array<long>"
 FIELDS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("mult", pa.int64()), ("shards", pa.list_(pa.int32())), ("blocks", pa.list_(pa.int32())), ("v", pa.list_(pa.float64())), ("near", pa.list_(pa.int64()))])
-FOUND = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
+FOUND = pa.schema([("probe", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
 
 
 def grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[tuple[int, int], list[tuple], list[tuple], list[tuple]]]:
@@ -178,11 +183,14 @@ def sharded(classes: DataFrame, centroids: np.ndarray, overlap: int) -> DataFram
 
 
 def linked(classes: DataFrame, centroids: np.ndarray, radius: float, beam: int, overlap: int) -> DataFrame:
-    """(id, n, root): links of a class found in a shard, and a smaller class that it is connected with there."""
+    """(probe, id, n, root): links of a class or probe found in a shard, and a smaller class that a class is connected with there.
+
+    Probes are the rows with mult 0.
+    """
     placed = cut(sharded(classes, centroids, overlap))
     none = F.lit(None).cast("array<long>")
-    resident = placed.select("shard", F.col("blocks")[F.col("nth")].alias("block"), F.lit(0).alias("kind"), "id", "mult", "shards", "blocks", "v", none.alias("near"))
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.element_at("parts", F.col("nth") + 1) - 1), lambda j: j != F.col("blocks")[F.col("nth")]))
+    resident = placed.where("mult > 0").select("shard", F.col("blocks")[F.col("nth")].alias("block"), F.lit(0).alias("kind"), "id", "mult", "shards", "blocks", "v", none.alias("near"))
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.element_at("parts", F.col("nth") + 1) - 1), lambda j: (F.col("mult") == 0) | (j != F.col("blocks")[F.col("nth")])))
     guests = placed.select("shard", other.alias("block"), F.lit(2).alias("kind"), "id", "mult", "shards", "blocks", "v", none.alias("near"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,41 +226,63 @@ def linked(classes: DataFrame, centroids: np.ndarray, radius: float, beam: int,
                 continue
             w = np.array([r[4] for r in asked])
             of, at = ranged(x, graph, unit(w).astype(np.float32), radius - SLACK, beam)
-            names = np.array([r[0] for r in asked])
-            ok = names[of] != ids[at]
+            names, probe = np.array([r[0] for r in asked]), np.array([r[1] == 0 for r in asked])
+            ok = probe[of] | (names[of] != ids[at])
             of, at = of[ok], at[ok]
             sure = np.concatenate([cosines(w[of[i : i + 65536]], v[at[i : i + 65536]]) >= radius for i in range(0, len(of), 65536)] or [np.zeros(0, bool)])
             of, at = of[sure], at[sure]
             first = np.array([min(c for c in asked[a][2] if c in clusters[b]) == key[0] for a, b in zip(of.tolist(), at.tolist())], bool)  # a pair counts in one shard
             n = np.bincount(of[first], mult[at[first]], minlength=len(asked)).astype(np.int64)
-            nodes, roots = local_roots(names[of], ids[at])
+            real = ~probe[of]
+            nodes, roots = local_roots(names[of[real]], ids[at[real]])
             root = dict(zip(nodes.tolist(), roots.tolist()))
-            rows = [(int(i), int(k), root.pop(int(i), None)) for i, k in zip(names, n)]
-            rows += [(i, 0, r) for i, r in root.items()]
-            rows = [r for r in rows if r[1] or r[2] is not None]
+            rows = [(bool(p), int(i), int(k), None if p else root.pop(int(i), None)) for p, i, k in zip(probe, names, n)]
+            rows += [(False, i, 0, r) for i, r in root.items()]
+            rows = [r for r in rows if r[2] or r[3] is not None]
             if rows:
                 yield batch(FOUND, list(zip(*rows)))
 
-    return in_order(resident.union(links).union(guests)).mapInArrow(find, "id long, n long, root long")
+    return in_order(resident.union(links).union(guests)).mapInArrow(find, "probe boolean, id long, n long, root long")
+
+
+def probes(x: np.ndarray, radius: float) -> np.ndarray:
+    """PROBES rows of x (unit rows) at most, each turned in a random direction to a cosine between `radius` and 1."""
+    rng = np.random.default_rng(23)
+    own = x[rng.choice(len(x), min(PROBES, len(x)), replace=False)]
+    side = rng.normal(size=own.shape)
+    side -= (side * own).sum(axis=1, keepdims=True) * own
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-300)
+    cosine = np.clip(radius + (1 - radius) * rng.uniform(0.02, 1, (len(own), 1)), -1, 1)
+    return unit(cosine * own + np.sqrt(1 - cosine**2) * side) if x.shape[1] > 1 else own
 
 
-def audit(classes: DataFrame, n: int, radius: float) -> dict[int, int]:
-    """True numbers of links to other classes' vectors, for about AUDIT classes, by brute force over all."""
+def audit(classes: DataFrame, n: int, radius: float, planted: np.ndarray) -> dict[tuple[bool, int], int]:
+    """True numbers of links, by brute force over all: of probes, by (True, row), and of about AUDIT classes to other classes, by (False, id)."""
     drawn = F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(1 << 30)) < int(min(1.0, AUDIT / max(1, n)) * (1 << 30))
     got = classes.where(drawn).select("id", "v").toArrow()
-    if not got.num_rows:
-        return {}
-    ids, x = got.column("id").to_numpy(), unit(matrix(got.column("v").combine_chunks()))
+    own = got.column("id").to_numpy()
+    x = np.concatenate([unit(matrix(got.column("v").combine_chunks())), planted]) if len(own) else planted
+    probe, ids = np.arange(len(x)) >= len(own), np.concatenate([own, np.arange(len(planted))]).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), np.int64)
         for b in batches:
-            if b.num_rows:
-                near = (x @ unit(matrix(b.column(2))).T >= radius) & (ids[:, None] != b.column(0).to_numpy()[None, :])
-                total += near @ b.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "n"])
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                near = (x @ unit(matrix(part.column(2))).T >= radius) & (probe[:, None] | (ids[:, None] != part.column(0).to_numpy()[None, :]))
+                total += near @ part.column(1).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(probe), pa.array(ids), pa.array(total)], ["probe", "id", "n"])
+
+    counted = classes.select("id", "mult", "v").mapInArrow(run, "probe boolean, id long, n long").groupBy("probe", "id").agg(F.sum("n").alias("n"))
+    return {(r["probe"], r["id"]): r["n"] for r in counted.where("n > 0").collect()}
+
 
-    return {r["id"]: r["n"] for r in classes.select("id", "mult", "v").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+def audited(truth: dict[tuple[bool, int], int], got: dict[tuple[bool, int], int]) -> float:
+    """Mean share of its links that a vector found: the lower one of probes and real vectors, or of all where real ones are few."""
+    share = {k: min(got.get(k, 0), n) / n for k, n in truth.items()}
+    real, planted = ([v for (p, _), v in share.items() if p == kind] for kind in (False, True))
+    parts = [real, planted] if len(real) >= ENOUGH else [real + planted]
+    return min((sum(p) / len(p) for p in parts if p), default=1.0)
 
 
 def near_vectors(rows: DataFrame, key: str, vector: str, radius: float = 0.9) -> DataFrame:
@@ -261,17 +291,21 @@ def near_vectors(rows: DataFrame, key: str, vector: str, radius: float = 0.9) ->
     classes = cut(own.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v")))
     n = classes.count()
     x = sample(classes, n)
-    truth = audit(classes, n, radius) if n else {}
-    beam, overlap, recall, tries = BEAM, OVERLAP, 1.0, 0
+    beam, overlap, recall = BEAM, OVERLAP, 1.0
+    if n:
+        planted, centroids = probes(x, radius), kmeans(x, min(MAX_SHARDS, max(1, math.ceil(n / SHARD))))
+        truth = audit(classes, n, radius, planted)
+        asked = classes.select("id", "mult", "v").union(rows.sparkSession.createDataFrame([(i, 0, v) for i, v in enumerate(planted.tolist())], "id long, mult long, v array<double>"))
     while n:
-        found = cut(linked(classes, kmeans(x, min(MAX_SHARDS, max(1, math.ceil(n / SHARD)))), radius, beam, overlap).groupBy("id", "root").agg(F.sum("n").alias("n")))
+        every_found = cut(linked(asked, centroids, radius, beam, overlap).groupBy("probe", "id", "root").agg(F.sum("n").alias("n")))
+        found = every_found.where("NOT probe")
         counted = found.groupBy("id").agg(F.sum("n").alias("n"))
-        got = {r["id"]: r["n"] for r in counted.where(F.col("id").isin(list(truth))).collect()} if truth else {}
-        recall = sum(min(got.get(i, 0), k) for i, k in truth.items()) / max(1, sum(truth.values())) if sum(truth.values()) else 1.0
-        tries += 1
-        if recall >= TARGET or tries == 3:
+        real = [i for p, i in truth if not p]
+        got = {(r["probe"], r["id"]): r["n"] for r in every_found.where(F.col("probe") | F.col("id").isin(real)).groupBy("probe", "id").agg(F.sum("n").alias("n")).collect()}
+        recall = audited(truth, got)
+        if recall >= TARGET or (overlap >= len(centroids) and beam >= BLOCK):
             break
-        beam, overlap = beam * 2, overlap + 1
+        beam, overlap = min(beam * 2, BLOCK), overlap + 1
     every = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     if not n:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"), F.lit(1.0).alias("audit_recall"))

@@ -61,6 +61,24 @@ def test_links_over_many_shards(spark, monkeypatch):
     assert got[0][3] >= 0.9
 
 
+def test_audit_has_evidence_without_links(spark, monkeypatch):
+    monkeypatch.setattr(graph_dedup, "SHARD", 30)
+    monkeypatch.setattr(graph_dedup, "OVERLAP", 1)
+    tried, linked = [], graph_dedup.linked
+    monkeypatch.setattr(graph_dedup, "linked", lambda *a: tried.append(a[-1]) or linked(*a))
+    x = np.random.default_rng(3).normal(size=(600, 16))
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(x)]
+    assert not any(n for n, _ in plain_links(rows, 0.9).values())
+    got = cases.fetch(graph_dedup.near_vectors(vectors(spark, rows), "vec_id", "embedding", 0.9), "n_links", "kept", "audit_recall")
+    assert len(tried) > 1 and all(n == 0 and kept and r >= graph_dedup.TARGET for n, kept, r in got)
+
+
+def test_recall_counts_vectors():
+    few, big = {(False, i): 1 for i in range(40)}, {(False, 100 + i): 1000 for i in range(40)}
+    assert graph_dedup.audited(few | big, big) == 0.5
+    assert graph_dedup.audited({(True, i): 1 for i in range(10)}, {(True, i): 1 for i in range(5)}) == 0.5
+
+
 def test_odd_vectors(spark):
     got = cases.fetch(graph_dedup.near_vectors(vectors(spark, [*ODD, (None, [1.0] * 8), (None, None)], extra=True), "vec_id", "embedding", 0.9), "vec_id", "n_links", "component_id", "kept")
     assert {i: (n, c) for i, n, c, _ in got if i is not None} == plain_links(ODD, 0.9)
