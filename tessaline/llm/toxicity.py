@@ -12,9 +12,11 @@ occurrences, so a document that repeats itself counts once.
 
 A text's score compares the two log-likelihoods, normalised by length, over
 every window of `WINDOW` words and takes the window that speaks most for the
-toxic class: one insult in a long text counts as much as in a short one.  A
-one-dimensional logistic curve, fitted on labelled documents that the counts
-have not seen, turns it into 0..1.
+toxic class: one insult in a long text counts as much as in a short one.  The
+largest of many windows is larger by chance, so what it gains with the logarithm
+of their number in ordinary documents is taken off.  A one-dimensional logistic
+curve turns the rest into 0..1.  Gain and curve are fitted on labelled documents
+that the counts have not seen.
 
 Learning takes a bounded sample of labelled rows, at most about `max_toxic` and
 `max_ordinary` documents drawn by a hash of doc_id, distinct texts only.  Words
@@ -132,19 +134,32 @@ def strongest_window(ratios: np.ndarray, window: int = WINDOW) -> float:
     return float((total[window:] - total[:-window]).max()) / window
 
 
+def log_windows(words: int, window: int = WINDOW) -> float:
+    """Logarithm of the number of windows."""
+    return float(np.log(max(1, words - window + 1)))
+
+
+def length_gain(evidence: np.ndarray, windows: np.ndarray) -> float:
+    """How the strongest window of ordinary texts rises with the logarithm of their windows; not below 0, with a slight pull to it."""
+    if not len(evidence):
+        return 0.0
+    x = windows - windows.mean()
+    return max(0.0, float((x * (evidence - evidence.mean())).sum() / ((x * x).sum() + 1)))
+
+
 class Scorer:
     """A model with its calibration; keeps the ratios of words already met (bounded)."""
 
-    def __init__(self, model: KneserNey | None, slope: float = 1.0, middle: float = 0.0):
-        self.model, self.slope, self.middle = model, slope, middle
+    def __init__(self, model: KneserNey | None, slope: float = 1.0, middle: float = 0.0, gain: float = 0.0):
+        self.model, self.slope, self.middle, self.gain = model, slope, middle, gain
         self.memo: dict[str, float] = {}
         self.older: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}, "older": {}}
 
-    def evidence(self, texts: list[str]) -> np.ndarray:
-        """The strongest window of each whole text."""
+    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The strongest window of each whole text, and the logarithm of its number of windows."""
         split = [words_of(t) for t in texts]
         known, older = self.memo, self.older
         ratio = {w: known.get(w) or older.get(w) for w in {w for ws in split for w in ws}}
@@ -155,12 +170,13 @@ class Scorer:
             self.memo, self.older = ratio, known
         else:
             known.update(ratio)
-        return np.array([strongest_window(np.array([ratio[w] for w in ws])) for ws in split])
+        return np.array([strongest_window(np.array([ratio[w] for w in ws])) for ws in split]), np.array([log_windows(len(ws)) for ws in split])
 
     def score(self, texts: list[str]) -> np.ndarray:
         if self.model is None:
             return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.slope * (self.evidence(texts) - self.middle), -40, 40)))
+        strongest, windows = self.evidence(texts)
+        return 1 / (1 + np.exp(-np.clip(self.slope * (strongest - self.gain * windows - self.middle), -40, 40)))
 
 
 def calibrate(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -226,11 +242,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_or
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, texts in slices(b.column(0), MODEL_CHARS):
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(first, len(texts)), pa.array(shared.value.evidence(texts))], ["toxic", "evidence"])
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(first, len(texts)), *map(pa.array, shared.value.evidence(texts))], ["toxic", "evidence", "windows"])
 
-    seen = rows.where("fold = 3").select("text", "toxic").mapInArrow(tidy(run), "toxic int, evidence double").toArrow()
-    slope, middle = calibrate(seen.column("evidence").to_numpy(), seen.column("toxic").to_numpy() == 1)
-    return Scorer(KneserNey(every, table[1] + table[3], table[0] + table[2]), slope, middle)
+    seen = rows.where("fold = 3").select("text", "toxic").mapInArrow(tidy(run), "toxic int, evidence double, windows double").toArrow()
+    evidence, windows, toxic = seen.column("evidence").to_numpy(), seen.column("windows").to_numpy(), seen.column("toxic").to_numpy() == 1
+    gain = length_gain(evidence[~toxic], windows[~toxic])
+    return Scorer(KneserNey(every, table[1] + table[3], table[0] + table[2]), *calibrate(evidence - gain * windows, toxic), gain)
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])

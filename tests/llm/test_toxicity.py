@@ -48,6 +48,16 @@ def test_query(spark):
     assert auc(score, label) > 0.95 and ((score >= 0.5) == label).mean() > 0.9
 
 
+def test_long_clean_texts_are_left_alone(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("the tables are not here")
+    clean = table(spark, sf_dir, "labels").where("toxic = 0").select("doc_id")
+    long = table(spark, sf_dir, "documents").where("length(text) >= 5000").select("doc_id").join(clean, "doc_id", "left_semi")
+    got = cases.fetch(op8_toxicity(spark, sf_dir).where("held_out").join(long, "doc_id", "left_semi"), "predicted")
+    assert len(got) > 50 and sum(p for (p,) in got) <= 0.05 * len(got)
+
+
 def test_odd_rows(spark):
     texts = [*cases.TEXTS, *[f"you are an utter idiot and a moron number {i}" for i in range(20)], *[f"what a calm and pleasant day number {i}" for i in range(20)]]
     n = len(cases.TEXTS)
