@@ -6,16 +6,21 @@ import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Code points handled at once by the vectorised text scanners; bounds a worker's memory.
 SLICE_CHARS = 1 << 20
 #: The same for scanners that keep several numbers for each byte.
 MODEL_CHARS = 1 << 18
+#: Bounds of `Memo`.
+MEMO_CHARS, LONG_WORD = 8 << 20, 256
+#: A key with more than 1 / HOT of all rows is hot; there are fewer than HOT of them, whatever the data.
+HOT = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessaline-checkpoint-"))
 
 
@@ -44,22 +51,58 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class Memo(dict):
-    """What `make` gives for a key, kept in two generations of `limit` entries: words in use outlive rare ones."""
+class Memo:
+    """Values of words met lately, in two generations: words in use outlive rare ones.
 
-    def __init__(self, make: Callable, limit: int):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+    A generation ends at `limit` entries or MEMO_CHARS characters of keys; words longer than LONG_WORD aren't kept,
+    so a corpus of huge unique words can't fill a worker.
+    """
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old, self.chars = limit, {}, {}, 0
+
+    def __reduce__(self):
+        return Memo, (self.limit,)
+
+    def of(self, words: Iterable[str], make: Callable[[list[str]], Iterable]) -> dict:
+        """{word: value} of distinct words; `make` gives the values of those not kept."""
+        now, old = self.now, self.old
+        found = {w: now.get(w) for w in words}
+        lost = [w for w, v in found.items() if v is None]
+        if lost:
+            again = {w: v for w in lost if (v := old.get(w)) is not None}
+            new = [w for w in lost if w not in again]
+            if new:
+                again.update(zip(new, make(new)))
+            found.update(again)
+            kept = {w: v for w, v in again.items() if len(w) <= LONG_WORD}
+            chars = sum(map(len, kept))
+            if now and (len(now) + len(kept) > self.limit or self.chars + chars > MEMO_CHARS):
+                self.now, self.old, self.chars = kept, now, chars
+            else:
+                now.update(kept)
+                self.chars += chars
+        return found
+
+
+def spread_join(left: DataFrame, facts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """left LEFT JOIN facts on two 64-bit `keys`, for facts with one row a key and, in column `n`, the rows that share it.
+
+    Facts of hot keys are broadcast: a key is hot with more than a HOT-th of the sum of n, so there are fewer than HOT
+    of them.  Rows that find theirs there go on under scattered keys; all others meet their facts in a shuffled join in
+    which no key has more than a HOT-th of the rows.  `facts` is read three times: give a stored or checkpointed table.
+    `left` must be narrow over stored rows, so that a task that runs again scatters alike.
+    """
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    names = [c for c in facts.columns if c not in keys]
+    hot_of, cold_of = ({c: f"__{kind}_{i}" for i, c in enumerate([*keys, *names])} for kind in ("hot", "cold"))
+    hot = F.broadcast(facts.where(F.col(n) * HOT > total).select(*[F.col(c).alias(hot_of[c]) for c in facts.columns]))
+    cold = facts.where(F.col(n) * HOT <= total).select(*[F.col(c).alias(cold_of[c]) for c in facts.columns])
+    met = left.join(hot, [F.col(k) == F.col(hot_of[k]) for k in keys], "left")
+    own = F.col(hot_of[keys[0]]).isNotNull()
+    scattered = [F.when(own, F.xxhash64(F.lit(i), F.monotonically_increasing_id())).otherwise(F.col(k)).alias(f"__at_{i}") for i, k in enumerate(keys)]
+    met = met.select("*", *scattered).join(cold, [F.col(f"__at_{i}") == F.col(cold_of[k]) for i, k in enumerate(keys)], "left")
+    return met.select(*[F.col(f"`{c}`") for c in left.columns], *[F.when(own, F.col(hot_of[c])).otherwise(F.col(cold_of[c])).alias(c) for c in names])
 
 
 def stored(df: DataFrame) -> DataFrame:

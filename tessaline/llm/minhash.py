@@ -12,9 +12,13 @@
    the documents concerned, which are set aside in one pass.
 5. Buckets that still hold more than one component are searched in full, across
    components only: members outside the bucket's main component are compared
-   with all members, block by block, pruned as in step 3 and verified as in
-   step 4 where they meet (`second_look`), so a link that the star of step 2
-   did not show is not lost, and no bucket is ever held whole.
+   with all members, block by block, so a link that the star of step 2 did not
+   show is not lost, and no bucket is ever held whole.  Signatures travel first
+   and are pruned as in step 3 (`met`); texts follow only to the blocks where a
+   pair kept its chance, and are verified there (`second_look`).
+
+Joins on set hashes, bucket keys and nodes broadcast what belongs to hot keys
+(`spread_join`), so a group that holds a third of all rows lands in no one task.
 
 Components are computed on links alone.  Nothing grows with the square of a
 group of copies, and no list of documents reaches the driver.
@@ -38,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import batch, cut, stored, tidy
+from tessaline.llm.common import batch, cut, spread_join, stored, tidy
 from tessaline.llm.components import connected_components, local_roots
 
 MISS = 1e-6
@@ -174,8 +178,10 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, per_cent: int) -> D
     Partners of a are dealt into groups of about FAN; a's text goes once to each group, ahead of its partners', and
     a task reads its groups as a stream.
     """
-    fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fans"))
-    partners = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), "fans").cast("int").alias("fan"))
+    fans = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    partners = spread_join(pairs, fans, ["a"], "n")
+    fans = fans.withColumn("fans", F.ceil(F.col("n") / FAN).cast("int")).drop("n")
+    partners = partners.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / FAN)).cast("int").alias("fan"))
     heads = texts.join(fans, texts["id"] == fans["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
     rest = partners.join(texts, partners["b"] == texts["id"]).select("a", "fan", F.lit(1).alias("kind"), "b", "text")
 
@@ -201,59 +207,87 @@ def linked(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
     return both > 0 and 100 * both >= per_cent * (len(a) + len(b) - both)
 
 
-def second_look(mixed: DataFrame, width: int, per_cent: int, bands: int, rows: int, miss: float) -> DataFrame:
-    """Verified links (a, b) between the components of a bucket.
+MET = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("kind", pa.int32()), ("band", pa.int32()), ("rep", pa.int64()), ("comp", pa.int64()), ("guest", pa.bool_())])
+MET_DDL = "key long, block int, kind int, band int, rep long, comp long, guest boolean"
+
+
+def visits(rows: Iterator[tuple]) -> Iterator[tuple[tuple, list[tuple], list[tuple]]]:
+    """((key, block, band), residents, at most BLOCK guests) of rows (key, block, kind, band, ...) in that order; members keep what follows."""
+    now, home, guests = None, [], []
+    for key, block, kind, band, *rest in rows:
+        if (key, block, band) != now or len(guests) >= BLOCK:
+            if home and guests:
+                yield now, home, guests
+            home, guests, now = (home if (key, block, band) == now else []), [], (key, block, band)
+        (guests if kind else home).append(tuple(rest))
+    if home and guests:
+        yield now, home, guests
+
+
+def chances(band: int, rows: int, home: list[tuple], guests: list[tuple], signatures: tuple[np.ndarray, np.ndarray], threshold: float, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (guest, resident) of pairs of different components that keep a chance, each in the first band that it shares; members are (rep, comp, guest, ...)."""
+    left, right = signatures
+    ids, gids = np.array([h[0] for h in home]), np.array([g[0] for g in guests])
+    comps, gcomps = np.array([h[1] for h in home]), np.array([g[1] for g in guests])
+    also = np.array([h[2] for h in home])  # two guests meet in both their blocks
+    i, j = np.nonzero((gcomps[:, None] != comps[None, :]) & ~(also[None, :] & (gids[:, None] > ids[None, :])))
+    ok = survivors(left, right, i, j, threshold, miss)
+    i, j = i[ok], j[ok]
+    if band:
+        earlier = (left[i, : band * rows] == right[j, : band * rows]).reshape(len(i), band, rows).all(axis=2).any(axis=1)
+        i, j = i[~earlier], j[~earlier]
+    return i, j
+
+
+def met(mixed: DataFrame, threshold: float, rows: int, miss: float) -> DataFrame:
+    """MET rows of the members whose signatures keep a chance with one that they meet: the visits that texts must repeat.
 
-    mixed: key, band, n, main, rep, comp, text of all members of buckets with several components.  A bucket is dealt
-    into blocks of about BLOCK members; members outside its main component visit every block.  Pairs are compared,
-    pruned and verified where they meet, each in the first band that it shares, and what leaves a task is a spanning
-    star over components.
+    mixed: key, band, n, main, rep, comp, sig of all members of buckets with several components.
     """
-    k = -(-bands * rows // STEP) * STEP
     dealt = mixed.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("guest", F.col("comp") != F.col("main"))
-    residents = dealt.select("key", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "band", "rep", "comp", "guest", "text")
-    visitors = dealt.where("guest").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "band", "rep", "comp", "guest", "text")
-
-    def compare(band: int, home: list[tuple], guests: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        left, right = np.stack([g[4] for g in guests]), np.stack([h[4] for h in home])
-        ids, gids = np.array([h[0] for h in home]), np.array([g[0] for g in guests])
-        comps, gcomps = np.array([h[1] for h in home]), np.array([g[1] for g in guests])
-        also = np.array([h[2] for h in home])  # two guests meet in both their blocks
-        i, j = np.nonzero((gcomps[:, None] != comps[None, :]) & ~(also[None, :] & (gids[:, None] > ids[None, :])))
-        ok = survivors(left, right, i, j, per_cent / 100, miss)
-        i, j = i[ok], j[ok]
-        if band:
-            earlier = (left[i, : band * rows] == right[j, : band * rows]).reshape(len(i), band, rows).all(axis=2).any(axis=1)
-            i, j = i[~earlier], j[~earlier]
-        a, b = [], []
-        joined: set[tuple[int, int]] = set()
-        for x, y in zip(i.tolist(), j.tolist()):
-            link = (int(gcomps[x]), int(comps[y]))
-            if link not in joined and linked(guests[x][3], home[y][3], per_cent):
-                joined.add(link)
-                a.append(link[0])
-                b.append(link[1])
-        return np.array(a, np.int64), np.array(b, np.int64)
+    residents = dealt.select("key", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "band", "rep", "comp", "guest", "sig")
+    visitors = dealt.where("guest").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "band", "rep", "comp", "guest", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, home, guests = None, [], []
+        signs = lambda members: np.stack([np.frombuffer(m[3], np.uint32) for m in members])
+        for (key, block, band), home, guests in visits(r for x in batches for r in zip(*(c.to_pylist() for c in x.columns))):
+            i, j = chances(band, rows, home, guests, (signs(guests), signs(home)), threshold, miss)
+            seen = [(key, block, kind, band, *m[:3]) for kind, own, at in ((0, home, j), (1, guests, i)) for m in (own[k] for k in np.unique(at).tolist())]
+            if seen:
+                yield batch(MET, list(zip(*seen)))
 
-        def flush() -> list[pa.RecordBatch]:
-            if not home or not guests:
-                return []
-            a, b = local_roots(*compare(now[2], home, guests))
-            return [batch(PAIRS, [a, b])] if len(a) else []
+    placed = residents.union(visitors).repartition("key", "block").sortWithinPartitions("key", "block", "kind")
+    return placed.mapInArrow(tidy(run), MET_DDL).distinct()
 
-        for x in batches:
-            for key, block, kind, band, rep, comp, guest, text in zip(*(c.to_pylist() for c in x.columns[:7]), x.column(7)):
-                if (key, block, band) != now or len(guests) >= BLOCK:
-                    yield from flush()
-                    home, guests, now = (home if (key, block, band) == now else []), [], (key, block, band)
-                own = shingle_set(text.as_py(), width)
-                (guests if kind else home).append((rep, comp, guest, own, signature(own, k)))
-        yield from flush()
 
-    return residents.union(visitors).repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(tidy(run), "a long, b long")
+def second_look(mixed: DataFrame, texts: DataFrame, width: int, per_cent: int, bands: int, rows: int, miss: float) -> DataFrame:
+    """Verified links (a, b) between the components of a bucket; mixed as for `met`.
+
+    Pairs that keep a chance are verified on full sets where they meet, and what leaves a task is a spanning star over
+    components.
+    """
+    k, threshold = -(-bands * rows // STEP) * STEP, per_cent / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def members() -> Iterator[tuple]:
+            for x in batches:
+                for *own, text in zip(*(c.to_pylist() for c in x.columns[:7]), x.column(7)):
+                    yield (*own, shingle_set(text.as_py(), width))
+
+        for (_, _, band), home, guests in visits(members()):
+            signs = lambda own: np.stack([signature(m[3], k) for m in own])
+            joined: set[tuple[int, int]] = set()
+            for x, y in zip(*(at.tolist() for at in chances(band, rows, home, guests, (signs(guests), signs(home)), threshold, miss))):
+                link = (guests[x][1], home[y][1])
+                if link not in joined and linked(guests[x][3], home[y][3], per_cent):
+                    joined.add(link)
+            if joined:
+                a, b = local_roots(*np.array(sorted(joined), np.int64).T)
+                yield batch(PAIRS, [a, b])
+
+    # a member that many blocks want is read once and copied to each of them
+    wanted = met(mixed, threshold, rows, miss).join(texts, F.col("rep") == F.col("id")).select("key", "block", "kind", "band", "rep", "comp", "guest", "text")
+    return wanted.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, miss: float = MISS) -> DataFrame:
@@ -263,26 +297,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, miss: f
     k = -(-bands * rows // STEP) * STEP
     sigs = stored(signed(docs, width, k))
     usable = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    classes = cut(usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    # one row for each set, however often its smallest doc_id is repeated
+    reps = spread_join(usable.select("doc_id", "h1", "h2", "sig"), classes, ["h1", "h2"], "copies").where("doc_id = rep").dropDuplicates(["h1", "h2"]).select("rep", "sig")
+    reps = stored(reps)
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * rows) + 1, F.lit(4 * rows))))
-    banded = stored(usable.join(classes, ["h1", "h2"]).where("doc_id = rep").select("rep", F.posexplode(keys).alias("band", "key")))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("head < last")
-    shared = stored(banded.join(buckets.select("key", "head", "n"), "key"))
+    banded = stored(reps.select("rep", F.posexplode(keys).alias("band", "key")))
+    buckets = stored(banded.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("head < last").select("key", "head", "n"))
+    shared = stored(spread_join(banded, buckets, ["key"], "n").where("n IS NOT NULL"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = stored(texts.join(shared.select(F.col("rep").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi"))
+    texts = stored(texts.join(shared.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
     star = shared.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    likely = cut(plausible(star, usable.select(F.col("doc_id").alias("rep"), "sig"), threshold, miss).distinct())
+    likely = cut(plausible(star, reps, threshold, miss).distinct())
     first = cut(connected_components(verified(likely, texts, width, per_cent), "a", "b"))
-    placed = shared.where("n > 2").join(first, shared["rep"] == first["node"], "left").select("key", "band", "n", "head", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = stored(placed)
-    several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("rep") == F.col("head"), F.col("comp"))).alias("main")).where("low < high").select("key", "main")
-    mixed = placed.join(several, "key").join(texts, F.col("rep") == F.col("id")).select("key", "band", "n", "main", "rep", "comp", "text")
-    second = connected_components(second_look(mixed, width, per_cent, bands, rows, miss), "a", "b").select(F.col("node").alias("was"), F.col("component").alias("now"))
+    placed = stored(shared.where("n > 2").join(first, shared["rep"] == first["node"], "left").select("key", "band", "n", "head", "rep", F.coalesce("component", "rep").alias("comp")))
+    several = placed.groupBy("key").agg(F.first("n").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("rep") == F.col("head"), F.col("comp"))).alias("main"))
+    mixed = spread_join(placed, stored(several.where("low < high").select("key", "main", "members")), ["key"], "members").where("main IS NOT NULL")
+    mixed = mixed.join(reps, "rep").select("key", "band", "n", "main", "rep", "comp", "sig")
+    second = connected_components(second_look(mixed, texts, width, per_cent, bands, rows, miss), "a", "b").select(F.col("node").alias("was"), F.col("component").alias("now"))
     known = first.join(second, first["component"] == second["was"], "left").select("node", F.coalesce("now", "component").alias("component"))
     extra = second.join(first, first["node"] == second["was"], "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
     final = known.union(extra)
-    members = sigs.join(classes, ["h1", "h2"], "left").join(final, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    # classes meet their components before rows meet their classes, so no join is keyed by what a group of copies shares
+    settled = cut(classes.join(final, F.col("rep") == F.col("node"), "left").select("h1", "h2", "copies", F.coalesce("component", "rep").alias("component")))
+    members = spread_join(sigs.select("doc_id", "n_shingles", "h1", "h2"), settled, ["h1", "h2"], "copies")
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return members.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
@@ -290,4 +329,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, miss: f
 def keep_one(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     """Drop every document that is not its group's smallest doc_id; rows with a null doc_id stay."""
     gone = near_duplicates(docs, width, per_cent).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

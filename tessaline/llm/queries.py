@@ -69,9 +69,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessaline.llm.shuffle_shards import shuffle_shards
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1)).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    out = shuffle_shards(docs, "doc_id", F.col("size"), shards=16)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size = (F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1)).cast("long")
+    out = shuffle_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", size, shards=16)
+    return out.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

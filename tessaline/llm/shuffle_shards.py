@@ -42,7 +42,8 @@ def permute(scattered: DataFrame, seed: int) -> DataFrame:
     Rows are sorted before they are permuted and buckets before the seeded
     permutations are drawn, so that a task that runs again draws the same.
     """
-    gathered = scattered.groupBy("bucket").agg(F.collect_list(F.struct("key", F.xxhash64("row").alias("tie"), "row")).alias("rows")).sortWithinPartitions("bucket")
+    # dealt before they are grouped: no task holds rows of many buckets on the map side
+    gathered = scattered.repartition("bucket").groupBy("bucket").agg(F.collect_list(F.struct("key", F.xxhash64("row").alias("tie"), "row")).alias("rows")).sortWithinPartitions("bucket")
     drawn = gathered.select("bucket", F.shuffle(F.transform(F.array_sort("rows"), lambda r: r["row"]), seed).alias("rows"))
     return drawn.select("bucket", F.posexplode("rows").alias("at", "row"))
 
