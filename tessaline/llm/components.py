@@ -4,7 +4,8 @@ Every step is a grouped minimum and a join back on the node, so no neighbour
 list is gathered; a node with a large share of the links gets its minimum by
 broadcast (`spread_join`), so no task receives all of them.  Before the first step each task shrinks its own links to
 stars with a union-find.  State between steps goes to the shared checkpoint
-folder.  Only one count and one checksum reach the driver.
+folder as Parquet: a checkpoint would hand on its plan's constraints, which
+grow with every step.  Only one count and one checksum reach the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import cut, spread_join
+from tessaline.llm.common import spread_join, stored
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,22 +50,22 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_least(links: DataFrame, least: Column) -> DataFrame:
     """links (u, v) with m, what `least` gives for the links of u; links are stored."""
-    facts = cut(links.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("n")))
+    facts = stored(links.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("n")))
     return spread_join(links, facts, ["u"], "n").drop("n")
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): every node that has a link, and the smallest node it reaches."""
     stars = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").mapInArrow(_contract, "u long, v long")
-    stars, before = cut(stars.distinct()), None  # u > v throughout
+    stars, before = stored(stars.distinct()), None  # u > v throughout
     while True:
         size = stars.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (size["n"], size["h"]) == before or not size["n"]:
             break
         before = (size["n"], size["h"])
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = cut(with_least(both, F.least(F.min("v"), F.first("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = stored(with_least(both, F.least(F.min("v"), F.first("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         joined = with_least(large, F.min("v"))
         small = joined.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        stars = cut(small)
+        stars = stored(small)
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -162,7 +162,7 @@ class Counter:
 
     def __init__(self, path: str):
         self.bpe = byte_bpe(path)
-        self.lexicon = Memo(self.emitted, MEMO)
+        self.lexicon = Memo(MEMO)
         special = getattr(self.bpe, "special", {})
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
@@ -184,7 +184,8 @@ class Counter:
         is_break = classes[starts] == BREAK
         for k in np.flatnonzero(is_break).tolist():
             words[k] = ""  # has no tokens
-        counts = list(map(self.lexicon.__getitem__, words))
+        known = self.lexicon.of(set(words), lambda new: map(self.emitted, new))
+        counts = [known[w] for w in words]
         total = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
         bounds = np.append(np.flatnonzero(is_break), len(words))
         return (total[bounds[1:]] - total[bounds[:-1]]).tolist()
