@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BYTES = 8 << 20
+TASK = 16  # buckets that a task of pass 2 gathers, one after the other
 GROUP = 4096  # buckets whose starts one task sums
 
 
@@ -36,14 +37,14 @@ def scatter(rows: DataFrame, key: str, buckets: int, seed: int) -> DataFrame:
     return rows.select(bucket.alias("bucket"), F.col(key).alias("key"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
 
 
-def permute(scattered: DataFrame, seed: int) -> DataFrame:
+def permute(scattered: DataFrame, buckets: int, seed: int) -> DataFrame:
     """Pass 2: Fisher-Yates within each bucket; columns bucket, row, at (from 0).
 
     Rows are sorted before they are permuted and buckets before the seeded
     permutations are drawn, so that a task that runs again draws the same.
     """
     # dealt before they are grouped: no task holds rows of many buckets on the map side
-    gathered = scattered.repartition("bucket").groupBy("bucket").agg(F.collect_list(F.struct("key", F.xxhash64("row").alias("tie"), "row")).alias("rows")).sortWithinPartitions("bucket")
+    gathered = scattered.repartition(max(min(buckets, scattered.sparkSession.sparkContext.defaultParallelism), -(-buckets // TASK)), "bucket").groupBy("bucket").agg(F.collect_list(F.struct("key", F.xxhash64("row").alias("tie"), "row")).alias("rows")).sortWithinPartitions("bucket")
     drawn = gathered.select("bucket", F.shuffle(F.transform(F.array_sort("rows"), lambda r: r["row"]), seed).alias("rows"))
     return drawn.select("bucket", F.posexplode("rows").alias("at", "row"))
 
@@ -60,9 +61,10 @@ def bucket_starts(counts: DataFrame) -> DataFrame:
 
 def shuffle_shards(rows: DataFrame, key: str, size: Column, shards: int = 16, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The input's columns, then shard int and slot long (input columns of those names are replaced), in a seeded uniform order."""
-    scattered = scatter(rows, key, bucket_count(rows, bucket_bytes, size), seed)
+    buckets = bucket_count(rows, bucket_bytes, size)
+    scattered = scatter(rows, key, buckets, seed)
     starts = bucket_starts(scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
-    placed = permute(scattered, seed).join(starts, F.col("bucket") == F.col("own")).select("row", (F.col("start") + F.col("at")).alias("pos"), "total")
+    placed = permute(scattered, buckets, seed).join(starts, F.col("bucket") == F.col("own")).select("row", (F.col("start") + F.col("at")).alias("pos"), "total")
     numbered = placed.withColumn("nth", F.expr(f"({shards} * (pos + 1) + total - 1) DIV total - 1"))
     own = [F.col(f"row.`{c}`") for c in rows.columns if c.lower() not in ("shard", "slot")]
     return numbered.select(*own, F.col("nth").cast("int").alias("shard"), F.expr(f"pos - nth * total DIV {shards}").cast("long").alias("slot"))
