@@ -1,9 +1,11 @@
 """Near-duplicate vectors from a robust-pruned flat graph (operator 4).
 
 1. Equal vectors form one class at once; its smallest id stands for it.
-2. Build.  Centroids are fitted on a bounded sample.  Every vector joins the
-   `overlap` nearest clusters; clusters longer than `BLOCK` are dealt into
-   blocks.  In each such shard a node's candidates, its nearest ones and a few
+2. Build.  Centroids are fitted on a bounded sample, for each length of vectors
+   apart; their number grows with the rows.  Every vector joins the `overlap`
+   nearest clusters, as many as the sample's probes (see 6) need to meet the
+   vectors that they were moved from; clusters longer than `BLOCK` are dealt
+   into blocks.  In each such shard a node's candidates, its nearest ones and a few
    random far ones, are pruned robustly: a candidate goes when a kept one is
    closer to it, by a factor `ALPHA`, than the node is.
 3. Union.  A node's adjacency lists from its shards are united: a link found in
@@ -23,15 +25,14 @@
    search is repeated, until every vector is in every shard.  The recall
    reached is returned as `audit_recall`.
 
-Defined results: null, zero and non-finite vectors, those of an uncommon
-length and rows with a null id link with nothing and are their own component
-(null id: null component, not kept); rows that repeat an id count separately;
-an empty table gives no rows; other columns are ignored.
+Defined results: null, zero and non-finite vectors and rows with a null id link
+with nothing and are their own component (null id: null component, not kept);
+vectors of different lengths never link; rows that repeat an id count
+separately; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import batch, cut
+from tessaline.llm.common import batch, cut, stored, tidy
 from tessaline.llm.components import connected_components, local_roots
-from tessaline.llm.vectors import class_hash, cosines, kmeans, matrix, nearest, sample, unit, usable
+from tessaline.llm.vectors import Clusters, by_length, class_hash, cluster_count, cosines, packed, runs, sample, unit, unpacked, usable
 
-SHARD, MAX_SHARDS, BLOCK = 1000, 1024, 2048
+SHARD, BLOCK = 1000, 8192
 POOL, NEAR, FAR, ALPHA = 32, 16, 4, 1.2
 BEAM, OVERLAP = 24, 2
 AUDIT, PROBES, ENOUGH, TARGET = 2048, 256, 30, 0.98  # ENOUGH audited vectors with links are a measure of their own
@@ -132,148 +133,205 @@ def ranged(x: np.ndarray, links: list[np.ndarray], q: np.ndarray, radius: float,
     return np.concatenate(of) if of else np.zeros(0, np.int64), np.concatenate(at) if at else np.zeros(0, np.int64)
 
 
-def united(names: np.ndarray, found: list[tuple[int, list[int]]]) -> list[np.ndarray]:
-    """Adjacency by position: all lists of a node together, both ways."""
+def united(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Adjacency by position of links between names: all lists of a node together, both ways."""
     order = np.argsort(names)
-    a = np.array([u for u, vs in found for _ in vs], np.int64)
-    b = np.array([v for _, vs in found for v in vs], np.int64)
     place = lambda z: order[np.searchsorted(names[order], z)]
     a, b = place(a), place(b)
     code = np.unique(np.concatenate([a * len(names) + b, b * len(names) + a]))
     return np.split(code % len(names), np.searchsorted(code // len(names), np.arange(1, len(names))))
 
 
-SHARDED_DDL = "shard int, block int, kind int, id long, mult long, shards array<int>, blocks array<int>, v array<double>, near array<long>"
-FIELDS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("mult", pa.int64()), ("shards", pa.list_(pa.int32())), ("blocks", pa.list_(pa.int32())), ("v", pa.list_(pa.float64())), ("near", pa.list_(pa.int64()))])
+ROWS_DDL = "shard int, block int, kind int, id long, mult long, homes binary, body binary"
+SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("mult", pa.int64()), ("homes", pa.binary()), ("body", pa.binary())])
 FOUND = pa.schema([("probe", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
+PLACED = ["id", "mult", "body", "homes", "shard", "block", "parts"]
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+HOME, LINKS, GUEST = 0, 1, 2  # kinds of rows of a shard: residents with vectors, links that another task found, visitors
 
 
-def grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[tuple[int, int], list[tuple], list[tuple], list[tuple]]]:
-    """(key, residents, links, guests) of each shard in a stream sorted by shard, block, kind; guests in runs of `limit`."""
-    now: tuple[int, int] | None = None
-    rows: tuple[list, list, list] = ([], [], [])
-    for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns)):
-            if r[:2] != now or len(rows[2]) >= limit:
-                if now is not None:
-                    yield now, *rows
-                rows = (rows[0], rows[1], []) if r[:2] == now else ([], [], [])
-                now = r[:2]
-            rows[r[2]].append(r[3:])
-    if now is not None:
-        yield now, *rows
-
-
-def sharded(classes: DataFrame, centroids: np.ndarray, overlap: int) -> DataFrame:
-    """Each class in each of its clusters' blocks, with all its clusters and blocks."""
+def sharded(classes: DataFrame, clusters: Clusters, overlap: int) -> DataFrame:
+    """Each class in each of its clusters' blocks: id, mult, body (the vector), shard, block, parts (blocks of the shard), homes (its shards and blocks)."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                near = nearest(unit(matrix(b.column(2))), centroids, overlap).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], ["id", "mult", "v", "shards"])
+            for d, at, x in by_length(b.column(2)):
+                near = clusters.number(d, clusters.assign(d, unit(x), min(overlap, clusters.of(d))))
+                rest = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*rest.columns[:2], packed(x), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["id", "mult", "body", "shards"])
 
-    near = cut(classes.select("id", "mult", "v").mapInArrow(assign, "id long, mult long, v array<double>, shards array<int>"))
-    sizes = {r["s"]: -(-r["n"] // BLOCK) for r in near.select(F.explode("shards").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each shard
-    if not sizes:
-        sizes = {0: 1}
-    blocks = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
-    dealt = near.withColumn("blocks", F.transform("shards", lambda s: F.pmod(F.xxhash64(F.col("id"), s), blocks[s]).cast("int"))).withColumn("parts", F.transform("shards", lambda s: blocks[s]))
-    return dealt.select("id", "mult", "shards", "blocks", "v", "parts", F.posexplode("shards").alias("nth", "shard"))
+    near = cut(classes.select("id", "mult", "v").mapInArrow(tidy(assign), "id long, mult long, body binary, shards array<int>"))
+    held = near.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    sizes = sorted(map(tuple, held.collect()))  # a row for each shard: the sample bounds them
+    names, parts_of = np.array([s for s, _ in sizes], np.int64), np.array([p for _, p in sizes], np.int64)
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, at, shards in by_length(b.column(3)):
+                rest, shard = b.take(pa.array(at)), shards.astype(np.int64)
+                parts = parts_of[np.searchsorted(names, shard)]
+                mixed = (rest.column(0).to_numpy().astype(np.uint64)[:, None] * MIX[0] ^ shard.astype(np.uint64)) * MIX[1]
+                block = ((mixed >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int64)
+                homes = packed(np.sort((shard + (1 << 31)) << 32 | block, axis=1).astype(">u8"))
+                for j in range(shard.shape[1]):
+                    yield pa.RecordBatch.from_arrays([*rest.columns[:3], homes, *[pa.array(x[:, j], pa.int32()) for x in (shard, block, parts)]], PLACED)
+
+    return near.mapInArrow(tidy(place), "id long, mult long, body binary, homes binary, shard int, block int, parts int")
+
+
+def home_codes(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Of each row its homes as numbers that sort by shard, then block."""
+    return [np.frombuffer(h, ">u8") for h in column.to_pylist()]
+
+
+def first_common(a: list[np.ndarray], b: list[np.ndarray], of: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The smallest shard that a[of[i]] and b[at[i]] have in common."""
+    width = max(map(len, a + b))
+    table = [np.stack([np.pad((h >> np.uint64(32)).astype(np.int64), (0, width - len(h)), constant_values=fill) for h in x]) for x, fill in ((a, -1), (b, -2))]
+    out = np.full(len(of), np.iinfo(np.int64).max)
+    for i in range(0, len(of), 65536):
+        p, q = table[0][of[i : i + 65536]], table[1][at[i : i + 65536]]
+        same = (p[:, :, None] == q[:, None, :]).any(axis=2)
+        out[i : i + 65536] = np.where(same, p, np.iinfo(np.int64).max).min(axis=1)
+    return out
 
-def linked(classes: DataFrame, centroids: np.ndarray, radius: float, beam: int, overlap: int) -> DataFrame:
+
+def linked(classes: DataFrame, clusters: Clusters, radius: float, beam: int, overlap: int) -> DataFrame:
     """(probe, id, n, root): links of a class or probe found in a shard, and a smaller class that a class is connected with there.
 
     Probes are the rows with mult 0.
     """
-    placed = cut(sharded(classes, centroids, overlap))
-    none = F.lit(None).cast("array<long>")
-    resident = placed.where("mult > 0").select("shard", F.col("blocks")[F.col("nth")].alias("block"), F.lit(0).alias("kind"), "id", "mult", "shards", "blocks", "v", none.alias("near"))
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.element_at("parts", F.col("nth") + 1) - 1), lambda j: (F.col("mult") == 0) | (j != F.col("blocks")[F.col("nth")])))
-    guests = placed.select("shard", other.alias("block"), F.lit(2).alias("kind"), "id", "mult", "shards", "blocks", "v", none.alias("near"))
+    placed = stored(sharded(classes, clusters, overlap))
+    resident = placed.where("mult > 0").select("shard", "block", F.lit(HOME).alias("kind"), "id", "mult", "homes", "body")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (F.col("mult") == 0) | (j != F.col("block"))))
+    guests = placed.withColumn("other", other).select("shard", F.col("other").alias("block"), F.lit(GUEST).alias("kind"), "id", "mult", "homes", "body")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, home, _, _ in grouped(batches, BLOCK):
-            ids = np.array([r[0] for r in home])
-            units = [set(zip(r[2], r[3])) for r in home]
-            rows = []
-            for i, near in enumerate(prune(unit(np.array([r[4] for r in home])).astype(np.float32), key[0])):
-                for s, b in units[i]:
-                    own = [int(ids[j]) for j in near.tolist() if (s, b) in units[j]]
-                    if own:
-                        rows.append((s, b, 1, int(ids[i]), None, None, None, None, own))
-            if rows:
-                yield batch(FIELDS, list(zip(*rows)))
+        for (shard, _, _), rows in runs(batches, 3, 1 << 62):
+            ids, homes = rows.column("id").to_numpy(), home_codes(rows.column("homes"))
+            near = prune(unit(unpacked(rows.column("body"), np.float64)).astype(np.float32), abs(shard))
+            a, b = np.repeat(np.arange(len(near)), [len(x) for x in near]), np.concatenate(near).astype(np.int64)
+            if not len(a):
+                continue
+            # a link serves every home that both ends have
+            width = max(map(len, homes))
+            table = np.stack([np.pad(h.astype(np.uint64), (0, width - len(h)), constant_values=(1 << 64) - 1) for h in homes])
+            for k in range(width):
+                own = table[a, k]
+                both = (own != (1 << 64) - 1) & (table[b] == own[:, None]).any(axis=1)
+                if both.any():
+                    code, n = own[both], int(both.sum())
+                    order = np.argsort(code, kind="stable")
+                    code, links = code[order], np.stack([ids[a[both]], ids[b[both]]], 1)[order]
+                    cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), n]
+                    heads = code[cuts[:-1]]
+                    m = len(heads)
+                    yield pa.RecordBatch.from_arrays([pa.array((heads >> np.uint64(32)).astype(np.int64) - (1 << 31), pa.int32()), pa.array((heads & np.uint64(0xFFFFFFFF)).astype(np.int64), pa.int32()), pa.array([LINKS] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([np.ascontiguousarray(links[x:y]).tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())], schema=SCHEMA)
 
     in_order = lambda df: df.repartition("shard", "block").sortWithinPartitions("shard", "block", "kind")
-    links = in_order(resident).mapInArrow(build, SHARDED_DDL)
+    links = in_order(resident).mapInArrow(tidy(build), ROWS_DDL)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: tuple[int, int] | None = None
-        graph: list[np.ndarray] = []
-        for key, home, near, visitors in grouped(batches, BLOCK):
-            if not home:
-                continue
-            ids, v = np.array([r[0] for r in home]), np.array([r[4] for r in home])
-            mult, clusters = np.array([r[1] for r in home]), [r[2] for r in home]
-            x = unit(v).astype(np.float32)
-            asked = visitors
-            if key != done:
-                graph, done = united(ids, [(r[0], r[5]) for r in near]), key
-                asked = home + visitors
-            if not asked:
-                continue
-            w = np.array([r[4] for r in asked])
-            of, at = ranged(x, graph, unit(w).astype(np.float32), radius - SLACK, beam)
-            names, probe = np.array([r[0] for r in asked]), np.array([r[1] == 0 for r in asked])
-            ok = probe[of] | (names[of] != ids[at])
+        at_home: tuple[int, int] | None = None
+        home: dict = {}
+        pairs: list[pa.Table] = []
+
+        def search(key: tuple[int, int], asked: pa.Table, graph: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            w, names, probe, theirs = unpacked(asked.column("body"), np.float64), asked.column("id").to_numpy(), asked.column("mult").to_numpy() == 0, home_codes(asked.column("homes"))
+            of, at = ranged(home["x"], graph, unit(w).astype(np.float32), radius - SLACK, beam)
+            ok = probe[of] | (names[of] != home["ids"][at])
             of, at = of[ok], at[ok]
-            sure = np.concatenate([cosines(w[of[i : i + 65536]], v[at[i : i + 65536]]) >= radius for i in range(0, len(of), 65536)] or [np.zeros(0, bool)])
+            sure = np.concatenate([cosines(w[of[i : i + 65536]], home["v"][at[i : i + 65536]]) >= radius for i in range(0, len(of), 65536)] or [np.zeros(0, bool)])
             of, at = of[sure], at[sure]
-            first = np.array([min(c for c in asked[a][2] if c in clusters[b]) == key[0] for a, b in zip(of.tolist(), at.tolist())], bool)  # a pair counts in one shard
-            n = np.bincount(of[first], mult[at[first]], minlength=len(asked)).astype(np.int64)
+            if not len(of):
+                return
+            first = first_common(theirs, home["homes"], of, at) == key[0] + (1 << 31)  # a pair counts in one shard
+            n = np.bincount(of[first], home["mult"][at[first]], minlength=len(names)).astype(np.int64)
             real = ~probe[of]
-            nodes, roots = local_roots(names[of[real]], ids[at[real]])
-            root = dict(zip(nodes.tolist(), roots.tolist()))
-            rows = [(bool(p), int(i), int(k), None if p else root.pop(int(i), None)) for p, i, k in zip(probe, names, n)]
-            rows += [(False, i, 0, r) for i, r in root.items()]
-            rows = [r for r in rows if r[2] or r[3] is not None]
-            if rows:
-                yield batch(FOUND, list(zip(*rows)))
-
-    return in_order(resident.union(links).union(guests)).mapInArrow(find, "probe boolean, id long, n long, root long")
-
-
-def probes(x: np.ndarray, radius: float) -> np.ndarray:
-    """PROBES rows of x (unit rows) at most, each turned in a random direction to a cosine between `radius` and 1."""
-    rng = np.random.default_rng(23)
-    own = x[rng.choice(len(x), min(PROBES, len(x)), replace=False)]
-    side = rng.normal(size=own.shape)
-    side -= (side * own).sum(axis=1, keepdims=True) * own
-    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-300)
-    cosine = np.clip(radius + (1 - radius) * rng.uniform(0.02, 1, (len(own), 1)), -1, 1)
-    return unit(cosine * own + np.sqrt(1 - cosine**2) * side) if x.shape[1] > 1 else own
-
-
-def audit(classes: DataFrame, n: int, radius: float, planted: np.ndarray) -> dict[tuple[bool, int], int]:
-    """True numbers of links, by brute force over all: of probes, by (True, row), and of about AUDIT classes to other classes, by (False, id)."""
+            nodes, roots = local_roots(names[of[real]], home["ids"][at[real]])
+            some = np.flatnonzero(n)
+            yield batch(FOUND, [probe[some], names[some], n[some], pa.nulls(len(some), pa.int64())])
+            yield batch(FOUND, [np.zeros(len(nodes), bool), nodes, np.zeros(len(nodes), np.int64), roots])
+
+        def graph_of() -> list[np.ndarray]:
+            if "graph" not in home:
+                ends = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for t in pairs for x in t.column("body").to_pylist()] or [np.zeros((0, 2), np.int64)])
+                home["graph"] = united(home["ids"], ends[:, 0], ends[:, 1])
+            return home["graph"]
+
+        def at_end() -> Iterator[pa.RecordBatch]:
+            """Residents are searched once their links are read."""
+            if home and "done" not in home:
+                home["done"] = True
+                yield from search(at_home, home["rows"], graph_of())
+
+        for (shard, block, kind), rows in runs(batches, 3, BLOCK):
+            if (shard, block) != at_home:
+                yield from at_end()
+                home, pairs, at_home = {}, [], (shard, block)
+            if kind == HOME:
+                rows = pa.concat_tables([home["rows"], rows]) if home else rows
+                v = unpacked(rows.column("body"), np.float64)
+                home = {"rows": rows, "v": v, "x": unit(v).astype(np.float32), "ids": rows.column("id").to_numpy(), "mult": rows.column("mult").to_numpy(), "homes": home_codes(rows.column("homes"))}
+            elif kind == LINKS:
+                pairs.append(rows)
+            elif home:
+                yield from at_end()
+                yield from search(at_home, rows, graph_of())
+        yield from at_end()
+
+    return in_order(resident.union(links).union(guests)).mapInArrow(tidy(find), "probe boolean, id long, n long, root long")
+
+
+def probes(samples: dict[int, np.ndarray], radius: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each length (vectors, probes): PROBES sampled unit vectors in all at most, each turned in a random direction to a cosine between `radius` and 1."""
+    rng, out, drawn = np.random.default_rng(23), {}, sum(map(len, samples.values()))
+    for d, x in samples.items():
+        own = x[rng.choice(len(x), min(len(x), max(1, PROBES * len(x) // drawn)), replace=False)]
+        side = rng.normal(size=own.shape)
+        side -= (side * own).sum(axis=1, keepdims=True) * own
+        side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-300)
+        cosine = np.clip(radius + (1 - radius) * rng.uniform(0.02, 1, (len(own), 1)), -1, 1)
+        out[d] = own, unit(cosine * own + np.sqrt(1 - cosine**2) * side) if d > 1 else own
+    return out
+
+
+def least_overlap(planted: dict[int, tuple[np.ndarray, np.ndarray]], clusters: Clusters, target: float) -> int:
+    """The fewest clusters to join with which the share `target` of probes has one in common with the vector it was moved from."""
+    for overlap in range(OVERLAP, clusters.most()):
+        met = [(a[:, :, None] == b[:, None, :]).any(axis=(1, 2)) for d, (x, y) in planted.items() for a, b in [(clusters.assign(d, x, min(overlap, clusters.of(d))), clusters.assign(d, y, min(overlap, clusters.of(d))))]]
+        if np.concatenate(met).mean() >= target:
+            return overlap
+    return max(OVERLAP, clusters.most())
+
+
+def audit(classes: DataFrame, n: int, radius: float, planted: dict[int, np.ndarray]) -> dict[tuple[bool, int], int]:
+    """True numbers of links, by brute force over all: of probes, by (True, its number), and of about AUDIT classes to other classes, by (False, id)."""
     drawn = F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(1 << 30)) < int(min(1.0, AUDIT / max(1, n)) * (1 << 30))
-    got = classes.where(drawn).select("id", "v").toArrow()
-    own = got.column("id").to_numpy()
-    x = np.concatenate([unit(matrix(got.column("v").combine_chunks())), planted]) if len(own) else planted
-    probe, ids = np.arange(len(x)) >= len(own), np.concatenate([own, np.arange(len(planted))]).astype(np.int64)
+    got = classes.where(drawn).select("id", "v").toArrow().combine_chunks()
+    real = {d: (got.column("id").to_numpy()[at], unit(x)) for d, at, x in by_length(got.column("v").combine_chunks())} if got.num_rows else {}
+    asked: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    first = 0
+    for d in sorted({*planted, *real}):
+        ids, x = real.get(d, (np.zeros(0, np.int64), np.zeros((0, d))))
+        own = planted.get(d, np.zeros((0, d)))
+        asked[d] = np.arange(len(ids) + len(own)) >= len(ids), np.concatenate([ids, np.arange(first, first + len(own))]).astype(np.int64), np.concatenate([x, own])
+        first += len(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ids), np.int64)
+        total = {d: np.zeros(len(ids), np.int64) for d, (_, ids, _) in asked.items()}
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                near = (x @ unit(matrix(part.column(2))).T >= radius) & (probe[:, None] | (ids[:, None] != part.column(0).to_numpy()[None, :]))
-                total += near @ part.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(probe), pa.array(ids), pa.array(total)], ["probe", "id", "n"])
-
-    counted = classes.select("id", "mult", "v").mapInArrow(run, "probe boolean, id long, n long").groupBy("probe", "id").agg(F.sum("n").alias("n"))
+            for d, at, v in by_length(b.column(2)):
+                if d in asked:
+                    probe, ids, x = asked[d]
+                    own, mult = b.column(0).to_numpy()[at], b.column(1).to_numpy()[at]
+                    for i in range(0, len(v), 1024):
+                        near = (x @ unit(v[i : i + 1024]).T >= radius) & (probe[:, None] | (ids[:, None] != own[None, i : i + 1024]))
+                        total[d] += near @ mult[i : i + 1024]
+        for d, (probe, ids, _) in asked.items():
+            yield pa.RecordBatch.from_arrays([pa.array(probe), pa.array(ids), pa.array(total[d])], ["probe", "id", "n"])
+
+    counted = classes.select("id", "mult", "v").mapInArrow(tidy(run), "probe boolean, id long, n long").groupBy("probe", "id").agg(F.sum("n").alias("n"))
     return {(r["probe"], r["id"]): r["n"] for r in counted.where("n > 0").collect()}
 
 
@@ -290,20 +348,22 @@ def near_vectors(rows: DataFrame, key: str, vector: str, radius: float = 0.9) ->
     own = usable(rows, key, vector).select("id", "v", *class_hash(F.col("v")))
     classes = cut(own.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v")))
     n = classes.count()
-    x = sample(classes, n)
-    beam, overlap, recall = BEAM, OVERLAP, 1.0
+    samples = sample(classes, n, cluster_count(n, SHARD))
+    recall = 1.0
     if n:
-        planted, centroids = probes(x, radius), kmeans(x, min(MAX_SHARDS, max(1, math.ceil(n / SHARD))))
-        truth = audit(classes, n, radius, planted)
-        asked = classes.select("id", "mult", "v").union(rows.sparkSession.createDataFrame([(i, 0, v) for i, v in enumerate(planted.tolist())], "id long, mult long, v array<double>"))
+        clusters, planted = Clusters(samples, n, SHARD), probes(samples, radius)
+        beam, overlap = BEAM, least_overlap(planted, clusters, (1 + TARGET) / 2)
+        moved = [v for d in sorted(planted) for v in planted[d][1].tolist()]
+        truth = audit(classes, n, radius, {d: y for d, (_, y) in planted.items()})
+        asked = classes.select("id", "mult", "v").union(rows.sparkSession.createDataFrame([(i, 0, v) for i, v in enumerate(moved)], "id long, mult long, v array<double>"))
     while n:
-        every_found = cut(linked(asked, centroids, radius, beam, overlap).groupBy("probe", "id", "root").agg(F.sum("n").alias("n")))
+        every_found = cut(linked(asked, clusters, radius, beam, overlap).groupBy("probe", "id", "root").agg(F.sum("n").alias("n")))
         found = every_found.where("NOT probe")
         counted = found.groupBy("id").agg(F.sum("n").alias("n"))
         real = [i for p, i in truth if not p]
         got = {(r["probe"], r["id"]): r["n"] for r in every_found.where(F.col("probe") | F.col("id").isin(real)).groupBy("probe", "id").agg(F.sum("n").alias("n")).collect()}
         recall = audited(truth, got)
-        if recall >= TARGET or (overlap >= len(centroids) and beam >= BLOCK):
+        if recall >= TARGET or (overlap >= clusters.most() and beam >= BLOCK):
             break
         beam, overlap = min(beam * 2, BLOCK), overlap + 1
     every = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))

@@ -63,7 +63,7 @@ def test_links_over_many_shards(spark, monkeypatch):
 
 def test_audit_has_evidence_without_links(spark, monkeypatch):
     monkeypatch.setattr(graph_dedup, "SHARD", 30)
-    monkeypatch.setattr(graph_dedup, "OVERLAP", 1)
+    monkeypatch.setattr(graph_dedup, "least_overlap", lambda *a: 1)
     tried, linked = [], graph_dedup.linked
     monkeypatch.setattr(graph_dedup, "linked", lambda *a: tried.append(a[-1]) or linked(*a))
     x = np.random.default_rng(3).normal(size=(600, 16))
@@ -129,3 +129,36 @@ def test_search_of_odd_vectors(spark):
     assert {(q, r): j for q, r, j, _ in got} == {(i, r + 1): j for i, near in want.items() for r, (_, j) in enumerate(near)}
     assert ivfpq.neighbours(vectors(spark, []), "vec_id", "embedding", 2).count() == 0
     assert ivfpq.neighbours(vectors(spark, [(2, [1.0, 2.0])]), "vec_id", "embedding", 2).count() == 0
+
+
+MIXED = [(1, [1.0, 0.0] * 4), (2, [1.0, 1.0, 0.0, 0.0, 2.0]), (3, [1.0, 1.0, 0.0, 0.0, 2.1]), (4, [1.0, 0.1] * 4), (6, [1.0, 1.0, 0.0, 0.0, -2.0]), (8, [1e-200, 1e-200, 1e-201]), (10, [2e-200, 2e-200, 2e-201]), (12, [1e200, 1e200, 1e199]), (14, [-1e200, 1e200, 1e199]), (16, [5.0]), (18, [7.0])]
+
+
+def same_length(rows, ask):
+    """The plain version for each length apart, on rows scaled to a largest component of 1."""
+    out = {}
+    for d in {len(v) for _, v in rows}:
+        out |= ask([(i, (np.array(v) / max(map(abs, v))).tolist()) for i, v in rows if len(v) == d])
+    return out
+
+
+def test_lengths_and_magnitudes(spark):
+    df = vectors(spark, MIXED)
+    got = cases.fetch(graph_dedup.near_vectors(df, "vec_id", "embedding", 0.9), "vec_id", "n_links", "component_id", "audit_recall")
+    assert {i: (n, c) for i, n, c, _ in got} == same_length(MIXED, lambda own: plain_links(own, 0.9)) and got[0][3] == 1
+    got = cases.fetch(ivfpq.neighbours(df, "vec_id", "embedding", 2), "query_id", "rank", "vec_id")
+    want = same_length(MIXED, lambda own: plain_search(own, 2, 5))
+    assert {(q, r): j for q, r, j in got} == {(i, r + 1): j for i, near in want.items() for r, (_, j) in enumerate(near)}
+
+
+def test_a_query_id_on_several_rows(spark):
+    """Five distinct answers, none of them the query's own id."""
+    x = clustered(60, 3, 5)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10, x[10].tolist()), (10, x[20].tolist()), (11, x[11].tolist())]
+    got = cases.fetch(ivfpq.neighbours(vectors(spark, rows), "vec_id", "embedding", 10), "query_id", "rank", "vec_id", "score")
+    exact = lambda i, j: max(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)) for k, a in rows if k == i for m, b in rows if m == j)
+    for q in range(0, 60, 10):
+        own = sorted((r, j, s) for i, r, j, s in got if i == q)
+        assert [r for r, _, _ in own] == [1, 2, 3, 4, 5] and len({j for _, j, _ in own} - {q}) == 5
+        assert all(abs(s - exact(q, j)) < 1e-12 for _, j, s in own)
+        assert own[0][2] >= max(exact(q, j) for j in range(60) if j != q) - 1e-12
