@@ -33,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import batch, slices
+from tessaline.llm.common import Memo, batch, slices
 from tessaline.llm.ngrams import KeyIndex
 
 MARK = "▁"
-MEMO = 200_000
+MEMO = 400_000
+CHARS = 1 << 22  # of the texts that are split and looked up at once: the more, the fewer lookups of a word
 CHECK_EVERY = 16
 SHORT = 48  # code points of a word whose agenda is run with others of its length
 LAST = np.int32(2**31 - 1)
@@ -55,8 +56,7 @@ class PieceCodec:
         self.scores = {self.sp.id_to_piece(i): self.sp.get_score(i) for i in normal}
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.decimal = [str(i) for i in range(n)]
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = Memo(MEMO)
         self.compile_pairs()
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a word mark inside a word: words can't be encoded apart")
@@ -160,19 +160,18 @@ class PieceCodec:
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """Ids of each whole text, without begin and end ids, as a list and as decimal text; checked."""
         split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known, older = self.words, self.older
-        found = {w: known.get(w) or older.get(w) for w in {w for ws in split for w in ws}}
-        new = [w for w, x in found.items() if x is None]
-        ids = self.agendas(new)
-        found.update(zip(new, ids))
-        if len(known) > MEMO:
-            self.words, self.older = found, known
-        else:
-            known.update(found)
+        fresh: list[tuple[str, bytes]] = []
+
+        def encoded(new: list[str]) -> list[bytes]:
+            ids = self.agendas(new)
+            fresh.extend(zip(new, ids))
+            return ids
+
+        found = self.words.of(set(chain.from_iterable(split)), encoded)
         coded = [b"".join(map(found.__getitem__, ws)) for ws in split]
         checked = range(0, len(texts), CHECK_EVERY)
         # the library adds the first mark itself, but not to nothing
-        asked = [(w.replace(MARK, " ")[1:], x) for w, x in zip(new, ids) if w != MARK] + [(texts[i], coded[i]) for i in checked]
+        asked = [(w.replace(MARK, " ")[1:], x) for w, x in fresh if w != MARK] + [(texts[i], coded[i]) for i in checked]
         theirs = self.sp.encode([w for w, _ in asked], num_threads=1)
         if [len(x) for x in theirs] != [len(x) // 4 for _, x in asked] or packed([*chain.from_iterable(theirs)]) != b"".join([x for _, x in asked]):
             raise ValueError("the agenda and the sentencepiece library disagree on " + repr(next((w, x) for (w, x), y in zip(asked, theirs) if x != packed(y)))[:200])
@@ -210,7 +209,7 @@ def encode_pieces(docs: DataFrame, model: str, end: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, texts in slices(b.column(1).to_pylist()):
+            for first, texts in slices(b.column(1), CHARS):
                 ids, _, decoded = zip(*coded(texts, model, end))
                 yield batch(CODED, [b.column(0).slice(first, len(texts)), list(ids), list(decoded)])
 
@@ -225,7 +224,7 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, texts in slices(b.column(1).to_pylist()):
+            for first, texts in slices(b.column(1), CHARS):
                 rows = [(len(i), sha(said), sha(back)) for i, said, back in coded(texts, model, True)]
                 yield batch(DIGESTS, [b.column(0).slice(first, len(texts)), *map(list, zip(*rows))])
 

@@ -5,7 +5,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessaline.llm.common import table
+from tessaline.llm.common import Memo, table
 from tessaline.llm.piece_codec import codec, encode_pieces, piece_digests
 from tessaline.llm.queries import op5_piece_codec, vocabulary
 from tests.llm import cases
@@ -38,8 +38,7 @@ def test_lock_step_equals_the_heap(word):
 def test_a_difference_stops_the_job(monkeypatch):
     c = codec(PATH)
     monkeypatch.setattr(c, "agendas", lambda words: [b"\1\0\0\0"] * len(words))
-    monkeypatch.setattr(c, "words", {})
-    monkeypatch.setattr(c, "older", {})
+    monkeypatch.setattr(c, "words", Memo(10))
     with pytest.raises(ValueError):
         c.encode(["never met before zqj"])
 
