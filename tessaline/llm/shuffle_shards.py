@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BYTES = 8 << 20
-TASK = 16  # buckets that a task of pass 2 gathers, one after the other
+TASK = 4  # buckets that a task of pass 2 gathers, one after the other
 GROUP = 4096  # buckets whose starts one task sums
 
 
@@ -44,7 +44,7 @@ def permute(scattered: DataFrame, buckets: int, seed: int) -> DataFrame:
     permutations are drawn, so that a task that runs again draws the same.
     """
     # dealt before they are grouped: no task holds rows of many buckets on the map side
-    gathered = scattered.repartition(max(min(buckets, scattered.sparkSession.sparkContext.defaultParallelism), -(-buckets // TASK)), "bucket").groupBy("bucket").agg(F.collect_list(F.struct("key", F.xxhash64("row").alias("tie"), "row")).alias("rows")).sortWithinPartitions("bucket")
+    gathered = scattered.repartition(-(-buckets // TASK), "bucket").groupBy("bucket").agg(F.collect_list(F.struct("key", F.xxhash64("row").alias("tie"), "row")).alias("rows")).sortWithinPartitions("bucket")
     drawn = gathered.select("bucket", F.shuffle(F.transform(F.array_sort("rows"), lambda r: r["row"]), seed).alias("rows"))
     return drawn.select("bucket", F.posexplode("rows").alias("at", "row"))
 
