@@ -2,17 +2,17 @@
 
 1. Equal vectors form one class at once; its smallest id stands for it.
 2. Build.  Centroids are fitted on a bounded sample, for each length of vectors
-   apart; their number grows with the rows.  Every vector joins the `overlap`
-   nearest clusters, as many as the sample's probes (see 6) need to meet the
-   vectors that they were moved from; clusters longer than `BLOCK` are dealt
-   into blocks.  In each such shard a node's candidates, its nearest ones and a few
+   apart; their number grows with the rows.  Every vector lives in the HOMES
+   nearest clusters; clusters longer than `BLOCK` are dealt into blocks.  In each such shard a node's candidates, its nearest ones and a few
    random far ones, are pruned robustly: a candidate goes when a kept one is
    closer to it, by a factor `ALPHA`, than the node is.
 3. Union.  A node's adjacency lists from its shards are united: a link found in
    one shard serves every shard that holds both ends, and links run both ways.
-4. Search.  Each vector is a query in its clusters: a greedy beam search from
-   the shard's medoids, then range expansion, which follows links from every
-   vector found in range until no new one is in range.
+4. Search.  Each vector is a query in its nearest clusters, as many (`visits`)
+   as the sample's probes (see 6) need to meet the vectors that they were moved
+   from: a greedy beam search from the shard's medoids, then range expansion,
+   which follows links from every vector found in range until no new one is in
+   range.
 5. Verify.  Pairs in range are checked by cosine in double precision on the
    original vectors.  A task emits numbers of links and, for components, a
    spanning star of what it found, never the pairs of a group.
@@ -21,8 +21,8 @@
    over all rows; each probe has one at least, however rare links are.  Probes
    are searched like any vector, but nothing finds them.  Recall is the mean
    over vectors of the share of links found, so a large group weighs no more
-   than a pair; while it is under TARGET the beam and the overlap widen and the
-   search is repeated, until every vector is in every shard.  The recall
+   than a pair; while it is under TARGET the beam and the visits widen and the
+   search is repeated, until every vector is searched for in every shard.  The recall
    reached is returned as `audit_recall`.
 
 Defined results: null, zero and non-finite vectors and rows with a null id link
@@ -46,7 +46,7 @@ from tessaline.llm.vectors import Clusters, by_length, class_hash, cluster_count
 
 SHARD, BLOCK = 1000, 8192
 POOL, NEAR, FAR, ALPHA = 32, 16, 4, 1.2
-BEAM, OVERLAP = 24, 2
+BEAM, HOMES = 24, 2
 AUDIT, PROBES, ENOUGH, TARGET = 2048, 256, 30, 0.98  # ENOUGH audited vectors with links are a measure of their own
 SLACK = 1e-4  # navigation is in single precision
 
@@ -66,7 +66,7 @@ def prune(x: np.ndarray, seed: int) -> list[np.ndarray]:
         near = np.argpartition(-s, pool - 1, axis=1)[:, :pool]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1), 1)
         to_node = 2 - 2 * np.take_along_axis(s, near, 1)
-        among = 2 - 2 * np.einsum("apd,aqd->apq", x[near], x[near])
+        among = 2 - 2 * np.matmul(x[near], x[near].transpose(0, 2, 1))
         alive, kept = np.ones(near.shape, bool), np.zeros(near.shape, bool)
         for _ in range(min(NEAR, pool)):
             k = alive.argmax(axis=1)
@@ -142,41 +142,44 @@ def united(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
     return np.split(code % len(names), np.searchsorted(code // len(names), np.arange(1, len(names))))
 
 
-ROWS_DDL = "shard int, block int, kind int, id long, mult long, homes binary, body binary"
-SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("mult", pa.int64()), ("homes", pa.binary()), ("body", pa.binary())])
+ROWS_DDL = "shard int, block int, kind int, id long, mult long, homes binary, visits binary, body binary"
+SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("mult", pa.int64()), ("homes", pa.binary()), ("visits", pa.binary()), ("body", pa.binary())])
 FOUND = pa.schema([("probe", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
-PLACED = ["id", "mult", "body", "homes", "shard", "block", "parts"]
+PLACED = ["id", "mult", "body", "homes", "visits", "shard", "block", "parts"]
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 HOME, LINKS, GUEST = 0, 1, 2  # kinds of rows of a shard: residents with vectors, links that another task found, visitors
 
 
-def sharded(classes: DataFrame, clusters: Clusters, overlap: int) -> DataFrame:
-    """Each class in each of its clusters' blocks: id, mult, body (the vector), shard, block, parts (blocks of the shard), homes (its shards and blocks)."""
+def sharded(classes: DataFrame, clusters: Clusters, visits: int) -> DataFrame:
+    """Each class at each cluster it visits: id, mult, body (the vector), shard, block (where it lives there, else -1), parts (blocks of the shard), homes (shards and blocks it lives in), visits (shards)."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for d, at, x in by_length(b.column(2)):
-                near = clusters.number(d, clusters.assign(d, unit(x), min(overlap, clusters.of(d))))
+                near = clusters.number(d, clusters.assign(d, unit(x), min(max(HOMES, visits), clusters.of(d))))
                 rest = b.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([*rest.columns[:2], packed(x), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["id", "mult", "body", "shards"])
 
     near = cut(classes.select("id", "mult", "v").mapInArrow(tidy(assign), "id long, mult long, body binary, shards array<int>"))
-    held = near.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    sizes = sorted(map(tuple, held.collect()))  # a row for each shard: the sample bounds them
-    names, parts_of = np.array([s for s, _ in sizes], np.int64), np.array([p for _, p in sizes], np.int64)
+    held = near.where("mult > 0").select(F.explode(F.slice("shards", 1, HOMES)).alias("shard")).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    sizes = dict(map(tuple, held.collect()))  # a row for each shard: the sample bounds them
+    names = np.array(sorted(sizes), np.int64)
+    parts_of = np.array([*(sizes[s] for s in names.tolist()), 0], np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, at, shards in by_length(b.column(3)):
                 rest, shard = b.take(pa.array(at)), shards.astype(np.int64)
-                parts = parts_of[np.searchsorted(names, shard)]
+                k = np.searchsorted(names, shard)
+                parts = np.where(np.isin(shard, names), parts_of[np.minimum(k, len(names))], 0)  # nobody lives in some
                 mixed = (rest.column(0).to_numpy().astype(np.uint64)[:, None] * MIX[0] ^ shard.astype(np.uint64)) * MIX[1]
-                block = ((mixed >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int64)
-                homes = packed(np.sort((shard + (1 << 31)) << 32 | block, axis=1).astype(">u8"))
+                block = ((mixed >> np.uint64(33)) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64)
+                homes = packed(((shard[:, :HOMES] + (1 << 31)) << 32 | block[:, :HOMES]).astype(">u8"))
+                visited = packed((shard + (1 << 31)).astype(np.int64))
                 for j in range(shard.shape[1]):
-                    yield pa.RecordBatch.from_arrays([*rest.columns[:3], homes, *[pa.array(x[:, j], pa.int32()) for x in (shard, block, parts)]], PLACED)
+                    yield pa.RecordBatch.from_arrays([*rest.columns[:3], homes, visited, *[pa.array(x, pa.int32()) for x in (shard[:, j], block[:, j] if j < HOMES else np.full(len(at), -1), parts[:, j])]], PLACED)
 
-    return near.mapInArrow(tidy(place), "id long, mult long, body binary, homes binary, shard int, block int, parts int")
+    return near.mapInArrow(tidy(place), "id long, mult long, body binary, homes binary, visits binary, shard int, block int, parts int")
 
 
 def home_codes(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -184,27 +187,27 @@ def home_codes(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(h, ">u8") for h in column.to_pylist()]
 
 
-def first_common(a: list[np.ndarray], b: list[np.ndarray], of: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The smallest shard that a[of[i]] and b[at[i]] have in common."""
-    width = max(map(len, a + b))
-    table = [np.stack([np.pad((h >> np.uint64(32)).astype(np.int64), (0, width - len(h)), constant_values=fill) for h in x]) for x, fill in ((a, -1), (b, -2))]
+def first_common(visits: np.ndarray, homes: list[np.ndarray], of: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The smallest shard that visits[of[i]] and homes[at[i]] have in common, the shard where the pair counts."""
+    width = max(map(len, homes))
+    lived = np.stack([np.pad((h >> np.uint64(32)).astype(np.int64), (0, width - len(h)), constant_values=-1) for h in homes])
     out = np.full(len(of), np.iinfo(np.int64).max)
     for i in range(0, len(of), 65536):
-        p, q = table[0][of[i : i + 65536]], table[1][at[i : i + 65536]]
+        p, q = visits[of[i : i + 65536]], lived[at[i : i + 65536]]
         same = (p[:, :, None] == q[:, None, :]).any(axis=2)
         out[i : i + 65536] = np.where(same, p, np.iinfo(np.int64).max).min(axis=1)
     return out
 
 
-def linked(classes: DataFrame, clusters: Clusters, radius: float, beam: int, overlap: int) -> DataFrame:
+def linked(classes: DataFrame, clusters: Clusters, radius: float, beam: int, visits: int) -> DataFrame:
     """(probe, id, n, root): links of a class or probe found in a shard, and a smaller class that a class is connected with there.
 
     Probes are the rows with mult 0.
     """
-    placed = stored(sharded(classes, clusters, overlap))
-    resident = placed.where("mult > 0").select("shard", "block", F.lit(HOME).alias("kind"), "id", "mult", "homes", "body")
+    placed = stored(sharded(classes, clusters, visits))
+    resident = placed.where("mult > 0 AND block >= 0").select("shard", "block", F.lit(HOME).alias("kind"), "id", "mult", "homes", "visits", "body")
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (F.col("mult") == 0) | (j != F.col("block"))))
-    guests = placed.withColumn("other", other).select("shard", F.col("other").alias("block"), F.lit(GUEST).alias("kind"), "id", "mult", "homes", "body")
+    guests = placed.where("parts > 0").withColumn("other", other).select("shard", F.col("other").alias("block"), F.lit(GUEST).alias("kind"), "id", "mult", "homes", "visits", "body")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (shard, _, _), rows in runs(batches, 3, 1 << 62):
@@ -226,7 +229,7 @@ def linked(classes: DataFrame, clusters: Clusters, radius: float, beam: int, ove
                     cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), n]
                     heads = code[cuts[:-1]]
                     m = len(heads)
-                    yield pa.RecordBatch.from_arrays([pa.array((heads >> np.uint64(32)).astype(np.int64) - (1 << 31), pa.int32()), pa.array((heads & np.uint64(0xFFFFFFFF)).astype(np.int64), pa.int32()), pa.array([LINKS] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([np.ascontiguousarray(links[x:y]).tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())], schema=SCHEMA)
+                    yield pa.RecordBatch.from_arrays([pa.array((heads >> np.uint64(32)).astype(np.int64) - (1 << 31), pa.int32()), pa.array((heads & np.uint64(0xFFFFFFFF)).astype(np.int64), pa.int32()), pa.array([LINKS] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array([np.ascontiguousarray(links[x:y]).tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())], schema=SCHEMA)
 
     in_order = lambda df: df.repartition("shard", "block").sortWithinPartitions("shard", "block", "kind")
     links = in_order(resident).mapInArrow(tidy(build), ROWS_DDL)
@@ -237,7 +240,7 @@ def linked(classes: DataFrame, clusters: Clusters, radius: float, beam: int, ove
         pairs: list[pa.Table] = []
 
         def search(key: tuple[int, int], asked: pa.Table, graph: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            w, names, probe, theirs = unpacked(asked.column("body"), np.float64), asked.column("id").to_numpy(), asked.column("mult").to_numpy() == 0, home_codes(asked.column("homes"))
+            w, names, probe, theirs = unpacked(asked.column("body"), np.float64), asked.column("id").to_numpy(), asked.column("mult").to_numpy() == 0, unpacked(asked.column("visits"), np.int64)
             of, at = ranged(home["x"], graph, unit(w).astype(np.float32), radius - SLACK, beam)
             ok = probe[of] | (names[of] != home["ids"][at])
             of, at = of[ok], at[ok]
@@ -296,13 +299,13 @@ def probes(samples: dict[int, np.ndarray], radius: float) -> dict[int, tuple[np.
     return out
 
 
-def least_overlap(planted: dict[int, tuple[np.ndarray, np.ndarray]], clusters: Clusters, target: float) -> int:
-    """The fewest clusters to join with which the share `target` of probes has one in common with the vector it was moved from."""
-    for overlap in range(OVERLAP, clusters.most()):
-        met = [(a[:, :, None] == b[:, None, :]).any(axis=(1, 2)) for d, (x, y) in planted.items() for a, b in [(clusters.assign(d, x, min(overlap, clusters.of(d))), clusters.assign(d, y, min(overlap, clusters.of(d))))]]
+def least_visits(planted: dict[int, tuple[np.ndarray, np.ndarray]], clusters: Clusters, target: float) -> int:
+    """The fewest clusters to visit with which the share `target` of probes comes to a home of the vector it was moved from."""
+    for visits in range(1, clusters.most()):
+        met = [(a[:, :, None] == b[:, None, :]).any(axis=(1, 2)) for d, (x, y) in planted.items() for a, b in [(clusters.assign(d, x, min(HOMES, clusters.of(d))), clusters.assign(d, y, min(visits, clusters.of(d))))]]
         if np.concatenate(met).mean() >= target:
-            return overlap
-    return max(OVERLAP, clusters.most())
+            return visits
+    return clusters.most()
 
 
 def audit(classes: DataFrame, n: int, radius: float, planted: dict[int, np.ndarray]) -> dict[tuple[bool, int], int]:
@@ -352,20 +355,20 @@ def near_vectors(rows: DataFrame, key: str, vector: str, radius: float = 0.9) ->
     recall = 1.0
     if n:
         clusters, planted = Clusters(samples, n, SHARD), probes(samples, radius)
-        beam, overlap = BEAM, least_overlap(planted, clusters, (1 + TARGET) / 2)
+        beam, visits = BEAM, least_visits(planted, clusters, (1 + TARGET) / 2)
         moved = [v for d in sorted(planted) for v in planted[d][1].tolist()]
         truth = audit(classes, n, radius, {d: y for d, (_, y) in planted.items()})
         asked = classes.select("id", "mult", "v").union(rows.sparkSession.createDataFrame([(i, 0, v) for i, v in enumerate(moved)], "id long, mult long, v array<double>"))
     while n:
-        every_found = cut(linked(asked, clusters, radius, beam, overlap).groupBy("probe", "id", "root").agg(F.sum("n").alias("n")))
+        every_found = cut(linked(asked, clusters, radius, beam, visits).groupBy("probe", "id", "root").agg(F.sum("n").alias("n")))
         found = every_found.where("NOT probe")
         counted = found.groupBy("id").agg(F.sum("n").alias("n"))
         real = [i for p, i in truth if not p]
         got = {(r["probe"], r["id"]): r["n"] for r in every_found.where(F.col("probe") | F.col("id").isin(real)).groupBy("probe", "id").agg(F.sum("n").alias("n")).collect()}
         recall = audited(truth, got)
-        if recall >= TARGET or (overlap >= clusters.most() and beam >= BLOCK):
+        if recall >= TARGET or (visits >= clusters.most() and beam >= BLOCK):
             break
-        beam, overlap = min(beam * 2, BLOCK), overlap + 1
+        beam, visits = min(beam * 2, BLOCK), visits + 1
     every = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     if not n:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"), F.lit(1.0).alias("audit_recall"))

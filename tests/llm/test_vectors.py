@@ -63,7 +63,8 @@ def test_links_over_many_shards(spark, monkeypatch):
 
 def test_audit_has_evidence_without_links(spark, monkeypatch):
     monkeypatch.setattr(graph_dedup, "SHARD", 30)
-    monkeypatch.setattr(graph_dedup, "least_overlap", lambda *a: 1)
+    monkeypatch.setattr(graph_dedup, "HOMES", 1)
+    monkeypatch.setattr(graph_dedup, "least_visits", lambda *a: 1)
     tried, linked = [], graph_dedup.linked
     monkeypatch.setattr(graph_dedup, "linked", lambda *a: tried.append(a[-1]) or linked(*a))
     x = np.random.default_rng(3).normal(size=(600, 16))
