@@ -2,21 +2,22 @@
 
 Two models of how words are spelt, one of toxic and one of ordinary documents,
 predict each byte of a word from the five before it (the word's start
-included).  Each takes discounts from its own counts, larger ones from larger
-counts (what one document alone says is given up whole), and gives the
-mass to one backoff distribution that both share: Kneser-Ney continuation
-counts of the two classes together.  An expression that is rare in both
-classes is therefore scored alike by both, and only what one class says
-markedly more often tells them apart.  Counts are of documents, not of
-occurrences, so a document that repeats itself counts once.
-
-A text's score compares the two log-likelihoods, normalised by length, over
-every window of `WINDOW` words and takes the window that speaks most for the
-toxic class: one insult in a long text counts as much as in a short one.  The
-largest of many windows is larger by chance, so what it gains with the logarithm
-of their number in ordinary documents is taken off.  A one-dimensional logistic
-curve turns the rest into 0..1.  Gain and curve are fitted on labelled documents
-that the counts have not seen.
+included).  Each takes modified Kneser-Ney discounts, estimated from its own
+counts of counts, and gives what it took, and the weight of PRIOR documents, to
+one distribution that both share: a Kneser-Ney model of the two classes'
+pooled counts, which itself backs off to continuation counts of shorter
+contexts.  An expression that is rare in both classes is therefore scored alike
+by both, and only what one class says markedly more often tells them apart.
+Counts are of documents, not of occurrences, so a document that repeats itself
+counts once.
+
+A text's score compares the two log-likelihoods of every word of the whole text
+and takes the mean over the SHARE of its words that speaks most for the toxic
+class, normalised by their number: so many insults among so many words count
+alike in short and long texts (a mean over all words can't tell a few insults
+among thousands of words from the offset between languages).  A one-dimensional
+logistic curve turns it into 0..1.  The curve is fitted on all labelled
+documents of the sample, each scored by models that have not seen its fold.
 
 Learning takes a bounded sample of labelled rows, at most about `max_toxic` and
 `max_ordinary` documents drawn by a hash of doc_id, distinct texts only.  Words
@@ -30,6 +31,7 @@ every score is 0; repeated rows score alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,14 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import MODEL_CHARS, batch, cut, slices, tidy
+from tessaline.llm.common import MODEL_CHARS, Memo, batch, cut, slices, tidy
 from tessaline.llm.language_id import held_out
 from tessaline.llm.ngrams import KeyIndex, grams, padded_bytes
 
 SPAN = 6  # bytes of an n-gram
+FOLDS = 4
 DISCOUNT = 0.75  # of continuation counts
-DISCOUNTS = (1, 1.75, 2.5)  # of counts of one, two, and more documents
-WINDOW = 2
+PRIOR = 20  # documents whose weight the shared distribution has in each context
+SHARE = 0.03  # of a text's words: those that are held to be its evidence
 MAX_TOXIC, MAX_ORDINARY = 4_000, 12_000
 MEMO = 100_000
 CHUNK = 50_000  # words whose n-grams are held at once while counting
@@ -88,8 +91,25 @@ def pooled_grams(words: list[str] | pa.Array, toxic: np.ndarray, ordinary: np.nd
     return keys[now], [c[now] for c in counts]
 
 
+def discounts(n: np.ndarray) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts of counts of one, two, and more, from the counts of counts; each at least 0 and below its count."""
+    c = [float((n == k).sum()) for k in (1, 2, 3, 4)]
+    share = c[0] / (c[0] + 2 * c[1]) if c[0] else 0.0
+    raw = [k - (k + 1) * share * c[k] / c[k - 1] if c[k - 1] else 0.0 for k in (1, 2, 3)]
+    return tuple(min(max(d, 0.0), k - 0.01) for d, k in zip(raw, (1, 2, 3)))
+
+
+def smoothed(n: np.ndarray, of: np.ndarray, base: np.ndarray, prior: float = 0.0) -> np.ndarray:
+    """P(last byte | context) of each n-gram with counts n: discounted counts, and `base` with what the discounts free and `prior` counts more."""
+    first, second, more = discounts(n)
+    taken = np.select([n <= 0, n < 1.5, n < 2.5], [0, first, second], more)
+    total, freed = np.bincount(of, n) + prior, np.bincount(of, taken) + prior
+    weight = np.where(total > 0, freed / np.maximum(total, 1e-9), 1.0)
+    return np.where(total[of] > 0, (n - taken) / np.maximum(total[of], 1e-9), 0) + weight[of] * base
+
+
 class KneserNey:
-    """Log ratio of the two classes for every n-gram and, where an n-gram is new, for its context."""
+    """Log ratio of the two classes for every n-gram; an n-gram that neither has is the shared model's alone, ratio 0."""
 
     def __init__(self, words: list[str] | pa.Array, toxic: np.ndarray, ordinary: np.ndarray):
         pooled, classes = pooled_grams(words, toxic, ordinary)
@@ -101,82 +121,43 @@ class KneserNey:
         base = ((n4 + 0.5) / (all4[of4] + 128))[at4]
         _, all5, of5 = _sums(five >> np.uint64(8), n5)
         kinds5 = np.bincount(of5)
-        shared = np.maximum(n5 - DISCOUNT, 0) / all5[of5] + DISCOUNT * kinds5[of5] / all5[of5] * base
-        context, of = np.unique(pooled >> np.uint64(8), return_inverse=True)
-        logs, escapes = [], []
-        for n in classes:
-            total = np.bincount(of, n, minlength=len(context))
-            taken = np.select([n <= 0, n < 1.5, n < 2.5], [0, *DISCOUNTS[:2]], DISCOUNTS[2])
-            freed = np.bincount(of, taken, minlength=len(context))
-            weight = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
-            p = np.where(total[of] > 0, (n - taken) / np.maximum(total[of], 1), 0) + weight[of] * shared[at5]
-            logs.append(np.log(p))
-            escapes.append(np.log(weight))
-        self.index, self.ratio = KeyIndex(pooled), (logs[0] - logs[1]).astype(np.float32)
-        self.contexts, self.escape = KeyIndex(context), (escapes[0] - escapes[1]).astype(np.float32)
+        shorter = (np.maximum(n5 - DISCOUNT, 0) / all5[of5] + DISCOUNT * kinds5[of5] / all5[of5] * base)[at5]
+        of = np.unique(pooled >> np.uint64(8), return_inverse=True)[1]
+        shared = smoothed(classes[0] + classes[1], of, shorter)
+        toxic_p, ordinary_p = (smoothed(n, of, shared, PRIOR) for n in classes)
+        self.index, self.ratio = KeyIndex(pooled), np.log(toxic_p / ordinary_p).astype(np.float32)
 
     def word_ratios(self, words: list[str]) -> np.ndarray:
         key, _, bounds = word_grams(words)
         place = self.index.find(key)
         out = np.where(place >= 0, self.ratio[place], np.float32(0))
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            place = self.contexts.find(key[new] >> np.uint64(8))
-            out[new] = np.where(place >= 0, self.escape[place], np.float32(0))
         return np.add.reduceat(out, bounds[:-1], dtype=np.float64)
 
 
-def strongest_window(ratios: np.ndarray, window: int = WINDOW) -> float:
-    """The largest mean over `window` words; a shorter text is one window; no words, no evidence."""
-    if len(ratios) <= window:
-        return float(ratios.sum()) / window
-    total = np.concatenate([[0], np.cumsum(ratios)])
-    return float((total[window:] - total[:-window]).max()) / window
-
-
-def log_windows(words: int, window: int = WINDOW) -> float:
-    """Logarithm of the number of windows."""
-    return float(np.log(max(1, words - window + 1)))
-
-
-def length_gain(evidence: np.ndarray, windows: np.ndarray) -> float:
-    """How the strongest window of ordinary texts rises with the logarithm of their windows; not below 0, with a slight pull to it."""
-    if not len(evidence):
+def strongest_share(ratios: np.ndarray, share: float = SHARE) -> float:
+    """Mean of the largest `share` of the words' ratios, of one at least; no words, no evidence."""
+    if not len(ratios):
         return 0.0
-    x = windows - windows.mean()
-    return max(0.0, float((x * (evidence - evidence.mean())).sum() / ((x * x).sum() + 1)))
+    k = math.ceil(share * len(ratios))
+    return float(np.partition(ratios, -k)[-k:].mean())
 
 
 class Scorer:
     """A model with its calibration; keeps the ratios of words already met (bounded)."""
 
-    def __init__(self, model: KneserNey | None, slope: float = 1.0, middle: float = 0.0, gain: float = 0.0):
-        self.model, self.slope, self.middle, self.gain = model, slope, middle, gain
-        self.memo: dict[str, float] = {}
-        self.older: dict[str, float] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}, "older": {}}
+    def __init__(self, model: KneserNey | None, slope: float = 1.0, middle: float = 0.0):
+        self.model, self.slope, self.middle = model, slope, middle
+        self.memo = Memo(MEMO)
 
-    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The strongest window of each whole text, and the logarithm of its number of windows."""
+    def evidence(self, texts: list[str]) -> np.ndarray:
         split = [words_of(t) for t in texts]
-        known, older = self.memo, self.older
-        ratio = {w: known.get(w) or older.get(w) for w in {w for ws in split for w in ws}}
-        new = [w for w, r in ratio.items() if r is None]
-        if new:
-            ratio.update(zip(new, self.model.word_ratios(new).tolist()))
-        if len(known) > MEMO:
-            self.memo, self.older = ratio, known
-        else:
-            known.update(ratio)
-        return np.array([strongest_window(np.array([ratio[w] for w in ws])) for ws in split]), np.array([log_windows(len(ws)) for ws in split])
+        ratio = self.memo.of({w for ws in split for w in ws}, lambda new: self.model.word_ratios(new).tolist())
+        return np.array([strongest_share(np.array([ratio[w] for w in ws])) for ws in split])
 
     def score(self, texts: list[str]) -> np.ndarray:
         if self.model is None:
             return np.zeros(len(texts))
-        strongest, windows = self.evidence(texts)
-        return 1 / (1 + np.exp(-np.clip(self.slope * (strongest - self.gain * windows - self.middle), -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * (self.evidence(texts) - self.middle), -40, 40)))
 
 
 def calibrate(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -205,20 +186,20 @@ def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_ordinary: int
     few = own.where(drawn < F.when(F.col("toxic") == 1, int(min(1, share[1]) * (1 << 30))).otherwise(int(min(1, share[0]) * (1 << 30))))
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most about max_toxic + max_ordinary rows
     same = F.xxhash64("text")
-    return texts.groupBy(same.alias("same")).agg(F.max(F.struct("toxic", "text")).alias("row")).select("row.text", "row.toxic", F.pmod("same", F.lit(4)).cast("int").alias("fold"))
+    return texts.groupBy(same.alias("same")).agg(F.max(F.struct("toxic", "text")).alias("row")).select("row.text", "row.toxic", F.pmod("same", F.lit(FOLDS)).cast("int").alias("fold"))
 
 
 COUNTED = pa.schema([("word", pa.string()), ("kind", pa.int32()), ("n", pa.int64())])
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, kind, n): documents that hold each word, kind = 2 * (fold is 3) + toxic."""
+    """(word, kind, n): documents that hold each word, kind = 2 * fold + toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[tuple[str, int]] = Counter()
         for b in batches:
             for text, toxic, fold in zip(*(c.to_pylist() for c in b.columns)):
-                seen.update((w, 2 * (fold == 3) + toxic) for w in set(words_of(text)))
+                seen.update((w, 2 * fold + toxic) for w in set(words_of(text)))
         if seen:
             yield batch(COUNTED, [[k[0] for k in seen], [k[1] for k in seen], list(seen.values())])
 
@@ -226,28 +207,33 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Scorer:
-    """Counts on three folds and a calibration on the fourth; then counts on all four."""
+    """A calibration in which models of three folds score the fourth, in turn; then counts on all folds."""
     rows = cut(sample(docs, labels, max_toxic, max_ordinary))
     counts = word_counts(rows).toArrow()
     kinds, n = counts.column("kind").to_numpy(), counts.column("n").to_numpy()
     coded = counts.column("word").combine_chunks().dictionary_encode()
     of, every = coded.indices.to_numpy(), coded.dictionary
-    table = np.zeros((4, len(every)), np.float32)
+    table = np.zeros((2 * FOLDS, len(every)), np.float32)
     table[kinds, of] = n
-    if not table[[0, 2]].any() or not table[[1, 3]].any():
+    ordinary, toxic = table[0::2].sum(axis=0), table[1::2].sum(axis=0)
+    if not ordinary.any() or not toxic.any():
         return Scorer(None)
-    partial = Scorer(KneserNey(every, table[1], table[0])) if table[0].any() and table[1].any() else Scorer(KneserNey(every, table[1] + table[3], table[0] + table[2]))
-    shared = docs.sparkSession.sparkContext.broadcast(partial)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, texts in slices(b.column(0), MODEL_CHARS):
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(first, len(texts)), *map(pa.array, shared.value.evidence(texts))], ["toxic", "evidence", "windows"])
-
-    seen = rows.where("fold = 3").select("text", "toxic").mapInArrow(tidy(run), "toxic int, evidence double, windows double").toArrow()
-    evidence, windows, toxic = seen.column("evidence").to_numpy(), seen.column("windows").to_numpy(), seen.column("toxic").to_numpy() == 1
-    gain = length_gain(evidence[~toxic], windows[~toxic])
-    return Scorer(KneserNey(every, table[1] + table[3], table[0] + table[2]), *calibrate(evidence - gain * windows, toxic), gain)
+    seen: list[pa.Table] = []
+    for fold in range(FOLDS):
+        most, least = toxic - table[2 * fold + 1], ordinary - table[2 * fold]
+        if not most.any() or not least.any():  # a class lies in this fold alone: its model has to know it
+            most, least = toxic, ordinary
+        shared = docs.sparkSession.sparkContext.broadcast(Scorer(KneserNey(every, most, least)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for first, texts in slices(b.column(0), MODEL_CHARS):
+                    yield pa.RecordBatch.from_arrays([b.column(1).slice(first, len(texts)), pa.array(shared.value.evidence(texts))], ["toxic", "evidence"])
+
+        seen.append(rows.where(F.col("fold") == fold).select("text", "toxic").mapInArrow(tidy(run), "toxic int, evidence double").toArrow())
+        shared.unpersist()
+    found = pa.concat_tables(seen)
+    return Scorer(KneserNey(every, toxic, ordinary), *calibrate(found.column("evidence").to_numpy(), found.column("toxic").to_numpy() == 1))
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])

@@ -1,11 +1,13 @@
+import math
 import os
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from tessaline.llm.common import table
 from tessaline.llm.queries import op8_toxicity
-from tessaline.llm.toxicity import KneserNey, calibrate, detect, keep_ordinary, strongest_window
+from tessaline.llm.toxicity import DISCOUNT, PRIOR, SPAN, KneserNey, calibrate, detect, keep_ordinary, strongest_share
 from tests.llm import cases
 
 
@@ -23,10 +25,60 @@ def test_rare_expressions_tell_nothing():
     assert calm < 0 < idiot and abs(new) < min(-calm, idiot)
 
 
-def test_windows():
-    assert strongest_window(np.array([])) == 0
-    assert strongest_window(np.array([1.0, -5, 3, 4, -9]), 2) == 3.5
-    assert strongest_window(np.array([4.0]), 2) == 2
+def plain_ratios(words, toxic, ordinary):
+    """{word: log ratio} by dictionaries over strings of bytes, one n-gram at a time."""
+    def spelt(w, n=SPAN):
+        text = b"\0" * (SPAN - 1) + f" {w} ".encode()
+        return [text[i - n + 1 : i + 1] for i in range(SPAN - 1, len(text))]
+
+    counts = [defaultdict(float), defaultdict(float)]
+    for w, *ns in zip(words, toxic, ordinary):
+        for g in spelt(w):
+            for c, n in zip(counts, ns):
+                c[g] += n
+    grams = {g for c in counts for g in c if c[g]}
+    five = Counter(g[1:] for g in grams)
+    four = Counter(g[1:] for g in five)
+
+    def shorter(g):
+        at4 = {h: n for h, n in four.items() if h[:-1] == g[2:-1]}
+        base = (four[g[2:]] + 0.5) / (sum(at4.values()) + 128)
+        at5 = {h: n for h, n in five.items() if h[:-1] == g[1:-1]}
+        return max(five[g[1:]] - DISCOUNT, 0) / sum(at5.values()) + DISCOUNT * len(at5) / sum(at5.values()) * base
+
+    def discount(c):
+        of = Counter(n for g, n in c.items() if g in grams)
+        share = of[1] / (of[1] + 2 * of[2]) if of[1] else 0
+        d = {k: min(max(k - (k + 1) * share * of[k + 1] / of[k], 0), k - 0.01) if of[k] else 0 for k in (1, 2, 3)}
+        return lambda n: d[min(int(n), 3)] if n else 0
+
+    def probability(c, g, base, prior):
+        d, near = discount(c), [h for h in grams if h[:-1] == g[:-1]]
+        total = sum(c[h] for h in near) + prior
+        return (c[g] - d(c[g]) + (sum(d(c[h]) for h in near) + prior) * base) / total
+
+    pooled = defaultdict(float, {g: counts[0][g] + counts[1][g] for g in grams})
+    out = {}
+    for w in words:
+        out[w] = 0.0
+        for g in spelt(w):
+            shared = probability(pooled, g, shorter(g), 0)
+            out[w] += math.log(probability(counts[0], g, shared, PRIOR) / probability(counts[1], g, shared, PRIOR))
+    return out
+
+
+def test_probabilities_against_a_plain_version():
+    words = ["calm", "calmer", "river", "rivers", "idiot", "idiots", "moron", "über"]
+    toxic, ordinary = [3, 1, 2, 0, 9, 2, 4, 1], [8, 2, 7, 3, 0, 0, 1, 2]
+    got = KneserNey(words, np.array(toxic, float), np.array(ordinary, float)).word_ratios(words)
+    want = plain_ratios(words, toxic, ordinary)
+    assert np.allclose(got, [want[w] for w in words], atol=1e-4)
+
+
+def test_strongest_share():
+    assert strongest_share(np.array([])) == 0 and strongest_share(np.array([-4.0])) == -4
+    assert strongest_share(np.array([1.0, -5, 3, 4, -9]), 0.4) == 3.5
+    assert strongest_share(np.array([1.0, -5, 3, 4, -9]), 0.01) == 4
 
 
 def test_calibration_rises_with_evidence():
