@@ -13,9 +13,11 @@ and a context leads to its escape cost.  A text of n bytes takes n vectorised
 lookups and, where they miss, lookups at shorter lengths; contexts run across
 the whole text.
 
-Learning takes a bounded sample: about `sample_bytes` of each language, drawn
-by a hash of doc_id from all labelled rows (distinct texts only).  The model is
-at most a few MB, whatever the corpus.
+Learning takes a bounded sample: about `sample_bytes` of each language (less,
+where there are so many labels that ALL_BYTES would be exceeded), drawn by a
+hash of doc_id from all labelled rows (distinct texts only), and the document of
+the smallest hash always, so every language that is labelled is learned.  The
+model is at most a few MB for each language, whatever the corpus.
 
 Defined results: null text and text without a letter are `und` with score 0;
 rows with a null doc_id are not learned from and not held out; with no labelled
@@ -27,7 +29,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ from tessaline.llm.ngrams import KeyIndex, grams, padded_bytes
 
 ORDER = 4
 SAMPLE_BYTES = 1 << 20
+ALL_BYTES = 1 << 26  # of the samples of all languages
+MOST_BITS = 16.0  # a byte: twice the uniform code; a text above it in every language is in none of them
 UNKNOWN = "und"
 
 
@@ -103,7 +106,16 @@ class Ppm:
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         if not self.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
-        bits = self.code_lengths(texts)
+        return self.chosen(texts, self.code_lengths(texts))
+
+    def identified(self, texts: list[str], most_bits: float) -> np.ndarray:
+        """Which texts have a letter and are coded in `most_bits` a byte by some language; with nothing learned, which have a letter."""
+        letters = np.array([has_letter(t) for t in texts])
+        if not self.languages:
+            return letters
+        return letters & (self.code_lengths(texts).min(axis=1) <= most_bits * np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts]))
+
+    def chosen(self, texts: list[str], bits: np.ndarray) -> list[tuple[str, float]]:
         best = bits.argmin(axis=1)
         odds = np.exp2(np.clip(bits[np.arange(len(bits)), best][:, None] - bits, -1000, 0))
         return [(self.languages[b], float(1 / o)) if has_letter(t) else (UNKNOWN, 0.0) for t, b, o in zip(texts, best, odds.sum(axis=1))]
@@ -123,16 +135,17 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 def learn(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -> Ppm:
     """Fit on about `sample_bytes` of distinct texts of each language; columns doc_id, text, lang."""
     usable = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    found = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
+    drawn = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30))
+    found = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min(drawn).alias("first")).collect()  # a row for each label
     if not found:
         return Ppm({}, order)
-    share = {r["lang"]: min(1.0, sample_bytes / max(1, r["bytes"])) for r in found}
-    drawn = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30))
-    wanted = reduce(lambda a, b: a | b, [(F.col("lang") == k) & (drawn < int(v * (1 << 30))) for k, v in share.items()])
-    samples: dict[str, dict[str, None]] = {k: {} for k in share}
-    for r in usable.where(wanted).select("lang", "text").toLocalIterator():
+    own = min(sample_bytes, max(1, ALL_BYTES // len(found)))
+    until = {r["lang"]: max(int(min(1.0, own / max(1, r["bytes"])) * (1 << 30)), r["first"] + 1) for r in found}
+    limits = F.create_map(*[F.lit(x) for kv in until.items() for x in kv])
+    samples: dict[str, dict[str, None]] = {k: {} for k in until}
+    for r in usable.where(drawn < limits[F.col("lang")]).select("lang", "text").toLocalIterator():
         samples[r["lang"]][r["text"]] = None
-    return Ppm({k: sorted(v) for k, v in samples.items() if v}, order)
+    return Ppm({k: sorted(v) for k, v in samples.items()}, order)
 
 
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -157,19 +170,18 @@ def identify(docs: DataFrame, folds: int = 3, fold: int = 1, sample_bytes: int =
     return predict(docs, model, folds, fold)
 
 
-def keep_identified(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """Drop documents without a language (`und`); texts and other columns stay as they are."""
-    model = learn(docs, sample_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema
+def keep_identified(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, most_bits: float = MOST_BITS) -> DataFrame:
+    """Drop documents in no learned language: those without a letter, and those whose shortest code takes over `most_bits` a byte.
+
+    Where nothing is labelled, only documents without a letter go.  Texts and other columns stay as they are.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, sample_bytes))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep: list[bool] = []
-            for _, texts in slices(b.column(at), MODEL_CHARS):
-                keep += [lang != UNKNOWN for lang, _ in shared.value.predict(texts)]
-            if any(keep):
+            keep = np.concatenate([shared.value.identified(texts, most_bits) for _, texts in slices(b.column(at), MODEL_CHARS)] or [np.zeros(0, bool)])
+            if keep.any():
                 yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(tidy(run), schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

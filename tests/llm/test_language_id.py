@@ -3,9 +3,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessaline.llm.common import table
-from tessaline.llm.language_id import Ppm, has_letter, identify, keep_identified
+from tessaline.llm.language_id import Ppm, has_letter, identify, keep_identified, learn
 from tessaline.llm.queries import op3_language_id
 from tests.llm import cases
 
@@ -79,3 +80,19 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns
     assert {r["doc_id"] for r in kept.collect() if r["doc_id"]} == {i + 1 for i, t in enumerate(cases.TEXTS) if has_letter(t or "")}
     assert keep_identified(cases.empty(spark)).count() == 0
+
+
+def test_rejection_rests_on_code_lengths(spark):
+    known = [f"the river runs past the mill number {i} and the mill stands by the river" for i in range(40)]
+    foreign = ["这是一个完全没有见过的语言的句子", "Это предложение на незнакомом языке"]
+    df = cases.docs(spark, [*known, *foreign, "12 34 !"], repeat=False).withColumn("lang", F.when(F.col("doc_id") <= 40, "en"))
+    assert {r["doc_id"] for r in keep_identified(df, most_bits=8).collect()} == set(range(1, 41))
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in keep_identified(unlabelled).collect()} == set(range(1, 43))
+
+
+def test_every_labelled_language_is_learned(spark):
+    """Three long documents of a language, far over the sample's share, and one short one of another."""
+    df = cases.docs(spark, ["ein langer Text " * 500, "noch ein langer Text " * 500, "der dritte Text " * 500, "the short one"], repeat=False)
+    df = df.withColumn("lang", F.when(F.col("doc_id") < 4, "de").otherwise("en"))
+    assert learn(df, sample_bytes=10).languages == ["de", "en"]
