@@ -49,6 +49,8 @@ POOL, NEAR, FAR, ALPHA = 32, 16, 4, 1.2
 BEAM, HOMES = 24, 2
 AUDIT, PROBES, ENOUGH, TARGET = 2048, 256, 30, 0.98  # ENOUGH audited vectors with links are a measure of their own
 SLACK = 1e-4  # navigation is in single precision
+PAIRS = 1 << 16  # of vectors compared at once
+ASKED = 1024  # queries whose finds are held at once
 
 
 def prune(x: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -81,18 +83,25 @@ def prune(x: np.ndarray, seed: int) -> list[np.ndarray]:
 def ranged(x: np.ndarray, links: list[np.ndarray], q: np.ndarray, radius: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) pairs in range, by greedy search from medoids and range expansion; x and q are unit rows."""
     m = len(x)
-    width = max(1, max(map(len, links), default=1))
-    table = np.full((m + 1, width), m)
-    for i, l in enumerate(links):
-        table[i, : len(l)] = l
-    wide = np.vstack([x, np.zeros((1, x.shape[1]), x.dtype)])
+    degree = np.fromiter(map(len, links), np.int64, m)
+    start, every = np.concatenate([[0], np.cumsum(degree)[:-1]]), np.concatenate([*links, np.zeros(0, np.int64)]).astype(np.int64)
+
+    def neighbours(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in nodes, place in its list, node) of all neighbours."""
+        n = degree[nodes]
+        of = np.repeat(np.arange(len(nodes)), n)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        return of, nth, every[start[nodes][of] + nth]
+
+    def scores(own: np.ndarray, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        return np.concatenate([(own[rows[j : j + PAIRS]] * x[nodes[j : j + PAIRS]]).sum(axis=1) for j in range(0, len(rows), PAIRS)] or [np.zeros(0, own.dtype)])
+
     entries = np.unique(np.concatenate([[int((x @ x.mean(axis=0)).argmax())], np.linspace(0, m - 1, min(4, m)).astype(int)]))
     of, at = [], []
     for i in range(0, len(q), 128):
         own = q[i : i + 128]
         n = len(own)
-        seen = np.zeros((n, m + 1), bool)
-        seen[:, m] = True
+        seen = np.zeros((n, m), bool)
         seen[:, entries] = True
         nodes = np.tile(entries, (n, 1))
         score = own @ x[entries].T
@@ -105,31 +114,35 @@ def ranged(x: np.ndarray, links: list[np.ndarray], q: np.ndarray, radius: float,
             if not len(rows):
                 break
             opened[rows, k[rows]] = True
-            new = table[nodes[rows, k[rows]]]
-            fresh = ~seen[rows[:, None], new]
-            seen[rows[:, None], new] = True
-            more = np.full((n, width), -9, own.dtype)
-            a, b = np.nonzero(fresh)
-            more[rows[a], b] = (own[rows[a]] * wide[new[a, b]]).sum(axis=1)
-            named = np.full((n, width), m)
-            named[rows] = new
-            a, b = np.nonzero(more >= radius)
-            hit.append((a, named[a, b]))
+            of_row, nth, new = neighbours(nodes[rows, k[rows]])
+            fresh = ~seen[rows[of_row], new]
+            of_row, nth, new = rows[of_row[fresh]], nth[fresh], new[fresh]
+            seen[of_row, new] = True
+            near = scores(own, of_row, new)
+            width = int(nth.max()) + 1 if len(nth) else 0
+            more, named = np.full((n, width), -9, own.dtype), np.zeros((n, width), np.int64)
+            more[of_row, nth], named[of_row, nth] = near, new
+            hit.append((of_row[near >= radius], new[near >= radius]))
             nodes, score, opened = np.hstack([nodes, named]), np.hstack([score, more]), np.hstack([opened, more <= -9])
             if nodes.shape[1] > beam:
                 best = np.argpartition(-score, beam - 1, axis=1)[:, :beam]
                 nodes, score, opened = (np.take_along_axis(y, best, 1) for y in (nodes, score, opened))
         a, b = np.concatenate([h[0] for h in hit]), np.concatenate([h[1] for h in hit])
-        while len(a):  # every vector in range hands on its links
+        while len(a):  # every vector in range hands on its links, a bounded number of them at a time
             of.append(a + i)
             at.append(b)
-            rows, new = np.repeat(a, width), table[b].ravel()
-            fresh = ~seen[rows, new]
-            code = np.unique(rows[fresh] * (m + 1) + new[fresh])
-            rows, new = code // (m + 1), code % (m + 1)
-            seen[rows, new] = True
-            near = np.concatenate([(own[rows[j : j + 65536]] * wide[new[j : j + 65536]]).sum(axis=1) >= radius for j in range(0, len(rows), 65536)] or [np.zeros(0, bool)])
-            a, b = rows[near], new[near]
+            found = []
+            cuts = np.searchsorted(np.cumsum(degree[b]), np.arange(PAIRS, int(degree[b].sum()) + PAIRS, PAIRS), side="right").tolist()
+            for j, z in zip([0, *cuts], [*cuts, len(a)]):
+                which, _, new = neighbours(b[j:z])
+                rows = a[j:z][which]
+                fresh = ~seen[rows, new]
+                code = np.unique(rows[fresh] * m + new[fresh])
+                rows, new = code // m, code % m
+                seen[rows, new] = True
+                near = scores(own, rows, new) >= radius
+                found.append((rows[near], new[near]))
+            a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     return np.concatenate(of) if of else np.zeros(0, np.int64), np.concatenate(at) if at else np.zeros(0, np.int64)
 
 
@@ -240,6 +253,10 @@ def linked(classes: DataFrame, clusters: Clusters, radius: float, beam: int, vis
         pairs: list[pa.Table] = []
 
         def search(key: tuple[int, int], asked: pa.Table, graph: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, asked.num_rows, ASKED):
+                yield from search_part(key, asked.slice(i, ASKED), graph)
+
+        def search_part(key: tuple[int, int], asked: pa.Table, graph: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             w, names, probe, theirs = unpacked(asked.column("body"), np.float64), asked.column("id").to_numpy(), asked.column("mult").to_numpy() == 0, unpacked(asked.column("visits"), np.int64)
             of, at = ranged(home["x"], graph, unit(w).astype(np.float32), radius - SLACK, beam)
             ok = probe[of] | (names[of] != home["ids"][at])
