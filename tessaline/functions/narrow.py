@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessaline.functions import scalar
+
 MOST = 288
 NATIVE = 38
 EXTRA = 4  # digits that a quotient or an average gains
@@ -71,10 +73,9 @@ def spec_of(kind: T.DataType) -> Spec:
 
 
 def quotient(df: DataFrame, a: str, b: str) -> Column:
-    """a / b with the scale of a plus four, half away from zero, null for a zero divisor."""
+    """a / b with the scale of a plus four, half away from zero in one rounding, null for a zero divisor."""
     sa, sb = (spec_of(df.select(F.expr(x).alias("x")).schema[0].dataType) for x in (a, b))
-    out = divide(sa, sb)
-    return F.expr(f"CAST(round(try_divide(CAST({a} AS DECIMAL(38, {min(37, out.scale + 2)})), CAST({b} AS DECIMAL({min(38, sb.precision)}, {sb.scale}))), {out.scale}) AS DECIMAL(38, {out.scale}))")
+    return F.expr(scalar.divide(a, b, sa.precision, sa.scale, sb.scale)).cast(T.DecimalType(NATIVE, sa.scale + EXTRA))
 
 
 def mean(column: str, scale: int = 0) -> Column:

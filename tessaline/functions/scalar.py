@@ -39,16 +39,49 @@ def signed(x: str) -> str:
     return f"(CASE WHEN {x} IS NOT NULL THEN coalesce(try_cast(regexp_extract(CAST({x} AS STRING), '^\\\\s*([+-]?[0-9]+)', 1) AS BIGINT), 0) END)"
 
 
-def divide(a: str, b: str, scale: int) -> str:
-    """Exact decimal quotient, half away from zero at `scale`; null for a zero divisor."""
-    return f"CAST(round(try_divide(CAST({a} AS DECIMAL(38, {scale + 2})), {b}), {scale}) AS DECIMAL(38, {scale}))"
+def _integer(x: str, scale: int) -> str:
+    """The unscaled integer of a decimal, null beyond 38 digits."""
+    return f"CAST(try_multiply(CAST({x} AS DECIMAL(38, {scale})), CAST({10**scale} AS DECIMAL({scale + 1}, 0))) AS DECIMAL(38, 0))"
+
+
+def divide(a: str, b: str, precision: int, scale: int, divisor_scale: int) -> str:
+    """Exact quotient of decimals, with four more digits than the dividend's `scale`, half away from zero; null for a zero divisor.
+
+    It is worked out in integers and rounded once: (2 |n| 10^k + |d|) less its remainder, over 2 |d|.  Where that
+    passes 38 digits, a quotient with six guard digits is rounded instead.
+    """
+    out = scale + 4
+    if len(a) + len(b) > LONG:  # named once instead of being spelt out again and again
+        return f"transform(array(named_struct('n', {a}, 'd', {b})), x -> {divide('x.n', 'x.d', precision, scale, divisor_scale)})[0]"
+    n, d = f"abs({_integer(a, scale)})", f"abs({_integer(b, divisor_scale)})"
+    up = 10 ** (4 + divisor_scale)
+    x = f"try_add(try_multiply(try_multiply({n}, CAST({up} AS DECIMAL({len(str(up))}, 0))), CAST(2 AS DECIMAL(1, 0))), {d})"
+    y = f"CAST(2 * {d} AS DECIMAL(38, 0))"
+    whole = f"CAST(try_divide(try_subtract({x}, try_mod({x}, {y})), {y}) AS DECIMAL(38, 0))"
+    digits = min(38, precision + 4 + divisor_scale)
+    # a product of q digits and the unit 10^-out is exact while both fit 38 digits; beyond, the point is moved in the text
+    quotient = f"CAST(CAST({whole} AS DECIMAL({digits}, 0)) * CAST('{10**-out:.{out}f}' AS DECIMAL({out + 1}, {out})) AS DECIMAL({min(38, digits + 1)}, {out}))" if digits + out + 2 <= 38 else f"try_cast(concat(CAST({whole} AS STRING), 'E-{out}') AS DECIMAL(38, {out}))"
+    signed_quotient = f"(CASE WHEN {b} <> 0 THEN CASE WHEN ({a} < 0) <> ({b} < 0) THEN -{quotient} ELSE {quotient} END END)"
+    if precision + 5 + divisor_scale <= 38:
+        return signed_quotient
+    return f"coalesce({signed_quotient}, CAST(round(try_divide(CAST({a} AS DECIMAL(38, {min(37, out + 6)})), {b}), {out}) AS DECIMAL(38, {out})))"
+
+
+LONG = 400  # characters of operands from which on a let-binding is shorter
 
 
 def int_divide(a: str, b: str) -> str:
     """int / int is a decimal with four digits, half away from zero; null for a zero divisor."""
-    n, d = f"CAST({a} AS DECIMAL(19, 0))", f"CAST({b} AS DECIMAL(19, 0))"
-    half = f"(2 * abs({n}) * 10000 + abs({d})) DIV (2 * abs({d}))"
-    return f"(CASE WHEN {b} <> 0 THEN CAST(sign({n}) * sign({d}) * ({half}) * CAST(0.0001 AS DECIMAL(5, 4)) AS DECIMAL(24, 4)) END)"
+    return divide(f"CAST({a} AS DECIMAL(19, 0))", f"CAST({b} AS DECIMAL(19, 0))", 19, 0, 0)
+
+
+_NUMBER = r"^\\s*([+-]?(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+
+
+def lenient_number(x: str, kind: str) -> str:
+    """Text as a number: leading digits count, anything else is 0, null stays null."""
+    found = f"regexp_extract({x}, '{_NUMBER}', 1)"
+    return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {found} = '' THEN CAST(0 AS {kind}) ELSE CAST({found} AS {kind}) END)"
 
 
 def timediff_seconds(a: str, b: str) -> str:

@@ -7,6 +7,8 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessaline.session import scratch
+
 PART = "__part"
 
 
@@ -34,9 +36,18 @@ def read_ranges(spark: SparkSession, path: str, column: str, bounds: list, low=N
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): codes from 0 in the order of values.  A dictionary is as long as its distinct values."""
+    """(value, code): codes from 0 in the order of values.
+
+    Values are dealt by ranges and numbered within their part; a part's first code is the sum of those before it, so no
+    task holds the whole dictionary.  The parts are written first, as ranges are drawn anew in each run.
+    """
+    path = scratch(df.sparkSession)
     values = df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
-    return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
+    values.repartitionByRange("value").sortWithinPartitions("value").select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("nth")).write.parquet(path)
+    placed = df.sparkSession.read.parquet(path)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    starts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), "part").select("value", (F.col("start") + F.col("nth")).cast("int").alias("code"))
 
 
 def dict_index(df: DataFrame, column: str, name: str) -> DataFrame:

@@ -16,18 +16,21 @@ def load_delimited(spark: SparkSession, path: str, schema: T.StructType, *, fiel
 
     Fields are read as text and cast, so that a bad or overflowing value is an error in strict mode and null
     otherwise (a missing field and an empty one outside quotes are null); a null in a NOT NULL column is an error in strict mode.  `ignore` skips
-    first lines, `starting` is a prefix that a line must have and loses, a trailing separator adds no column.
+    first lines of each file, `starting` is a prefix that a line must have and loses, a trailing separator adds no column.
     """
     names = [f.name for f in schema]
     text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "__tail"]])
-    raw = spark.read.option("lineSep", lines).text(path).select("value", F.monotonically_increasing_id().alias("__at"))
-    if ignore:
-        first = [r["__at"] for r in raw.orderBy("__at").limit(ignore).collect()]
-        raw = raw.where(~F.col("__at").isin(first)) if first else raw
-    if starting:
-        raw = raw.where(F.contains("value", F.lit(starting))).withColumn("value", F.expr(f"substring(value, locate('{starting}', value) + {len(starting)})"))
     options = {"sep": fields, "quote": enclosed or "\u0000", "escape": escaped or "\u0000", "nullValue": null, "emptyValue": "", "mode": "PERMISSIVE"}
-    rows = raw.select(F.from_csv("value", text.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
+    if enclosed and not starting and lines in ("\n", "\r\n", "\r") and ignore <= 1:  # line breaks may stand inside enclosed fields
+        rows = spark.read.schema(text).options(**options, multiLine=True, header=bool(ignore), enforceSchema=True).csv(path)
+    else:
+        raw = spark.read.option("lineSep", lines).text(path).select("value", F.col("_metadata.file_path").alias("__file"), (F.col("_metadata.file_block_start") == 0).alias("__head"), F.monotonically_increasing_id().alias("__at"))
+        if ignore:  # of each file: its first lines are the first of the split that starts it
+            first = raw.where("__head").groupBy("__file").agg(F.min("__at").alias("__first"))
+            raw = raw.join(first, "__file", "left").where(~(F.col("__head") & (F.col("__at") < F.col("__first") + ignore)))
+        if starting:
+            raw = raw.where(F.contains("value", F.lit(starting))).withColumn("value", F.expr(f"substring(value, locate('{starting}', value) + {len(starting)})"))
+        rows = raw.select(F.from_csv("value", text.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
     out = []
     for f in schema:
         cast = F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})") if not isinstance(f.dataType, T.StringType) else F.col(f.name)

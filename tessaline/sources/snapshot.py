@@ -1,15 +1,20 @@
 """Tables that change by statements: every change writes a new version and moves a pointer.
 
-A version is a Parquet folder; the pointer is a small text folder written last,
-so a reader sees the old version or the new one, and a failed job leaves the
-old one.  Files are reached through Spark alone, so any store works.
+A version is a Parquet folder of its own name; the pointer is a file for each
+step, named by the step's number and created only if no such file exists, so a
+reader sees the old version or the new one, a failed job leaves the old one,
+and of two writers that start from the same step the first one wins: the other
+gets `ConcurrentChange` and its version is never seen.  Files are reached
+through the file system of the path; creation must be atomic there.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +24,10 @@ class DuplicateKey(ValueError):
     pass
 
 
+class ConcurrentChange(RuntimeError):
+    pass
+
+
 class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: list[str] | None = None, defaults: dict | None = None):
         self.spark, self.path, self.schema, self.key, self.defaults = spark, path.rstrip("/"), schema, key or [], defaults or {}
@@ -26,19 +35,52 @@ class SnapshotTable:
     @classmethod
     def create(cls, spark: SparkSession, path: str, schema: T.StructType, key: list[str] | None = None, defaults: dict | None = None) -> SnapshotTable:
         table = cls(spark, path, schema, key, defaults)
-        table._publish(spark.createDataFrame([], schema), 1)
+        table._publish(spark.createDataFrame([], schema), 0)
         return table
 
+    def _files(self):
+        """(file system, folder of pointers)."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_steps")
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+
     def version(self) -> int:
-        return max(int(r["value"]) for r in self.spark.read.text(f"{self.path}/_pointer").collect())
+        """The last step."""
+        fs, folder = self._files()
+        return max(int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit())
+
+    def _folder(self, step: int) -> str:
+        fs, folder = self._files()
+        file = fs.open(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{step:08d}"))
+        try:
+            return file.readUTF()
+        finally:
+            file.close()
 
     def read(self, version: int | None = None) -> DataFrame:
         """The current or an earlier version."""
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version or self.version():08d}")
-
-    def _publish(self, df: DataFrame, version: int) -> None:
-        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).write.parquet(f"{self.path}/v{version:08d}")
-        self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_pointer")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self._folder(version or self.version())}")
+
+    def _publish(self, df: DataFrame, base: int) -> int:
+        """Write rows as the step after `base`."""
+        folder = f"v{base + 1:08d}-{uuid.uuid4().hex}"
+        df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema]).write.parquet(f"{self.path}/{folder}")
+        return self._point(folder, base)
+
+    def _point(self, folder: str, base: int) -> int:
+        fs, steps = self._files()
+        jvm = self.spark._jvm
+        try:
+            file = fs.create(jvm.org.apache.hadoop.fs.Path(steps, f"{base + 1:08d}"), False)
+        except Py4JJavaError as e:
+            raise ConcurrentChange(f"another change of {self.path} came first") from e
+        file.writeUTF(folder)
+        file.close()
+        return base + 1
+
+    def restore(self, version: int) -> int:
+        """Make an earlier version the current one, as a step of its own."""
+        return self._point(self._folder(version), self.version())
 
     def _complete(self, rows: DataFrame | Iterable[dict]) -> DataFrame:
         if not isinstance(rows, DataFrame):
@@ -52,7 +94,8 @@ class SnapshotTable:
 
     def insert(self, rows: DataFrame | Iterable[dict], on_duplicate: dict[str, Column] | None = None) -> int:
         """INSERT; with `on_duplicate`, present keys are updated (expressions see old.* and new.*)."""
-        now, new = self.read(), self._complete(rows)
+        base = self.version()
+        now, new = self.read(base), self._complete(rows)
         if not self.key:
             out = now.unionByName(new)
         else:
@@ -65,20 +108,16 @@ class SnapshotTable:
                     raise DuplicateKey("a key is already present")
                 out = now.unionByName(new)
             else:
-                changed = met.select(*[on_duplicate.get(c, F.col(f"old.{c}")).alias(c) for c in self.schema.names])
+                changed = met.select(*[on_duplicate.get(c, F.col(f"old.{c}")).alias(c) for c in self.schema.names])  # a changed key is not checked again
                 out = now.join(new, self.key, "left_anti").unionByName(changed).unionByName(new.join(now, self.key, "left_anti").select(*self.schema.names))
-        version = self.version() + 1
-        self._publish(out, version)
-        return version
+        return self._publish(out, base)
 
     def update(self, assignments: dict[str, Column], where: Column) -> int:
         """Rows where the condition is true get new values; all others, unknown ones included, stay."""
         hit = F.coalesce(where, F.lit(False))
-        version = self.version() + 1
-        self._publish(self.read().select(*[F.when(hit, assignments[c]).otherwise(F.col(c)).alias(c) if c in assignments else F.col(c) for c in self.schema.names]), version)
-        return version
+        base = self.version()
+        return self._publish(self.read(base).select(*[F.when(hit, assignments[c]).otherwise(F.col(c)).alias(c) if c in assignments else F.col(c) for c in self.schema.names]), base)
 
     def delete(self, where: Column) -> int:
-        version = self.version() + 1
-        self._publish(self.read().where(~F.coalesce(where, F.lit(False))), version)
-        return version
+        base = self.version()
+        return self._publish(self.read(base).where(~F.coalesce(where, F.lit(False))), base)
