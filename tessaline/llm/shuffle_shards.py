@@ -20,8 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BYTES = 8 << 20
-TASK = 4  # buckets that a task of pass 2 gathers, one after the other
+BUCKET_BYTES = 32 << 20
 GROUP = 4096  # buckets whose starts one task sums
 
 
@@ -33,7 +32,7 @@ def bucket_count(rows: DataFrame, bucket_bytes: int, size: Column) -> int:
 
 def scatter(rows: DataFrame, key: str, buckets: int, seed: int) -> DataFrame:
     """Pass 1: (bucket, key, row), a bucket number for each row, uniform whatever the keys are."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.monotonically_increasing_id()), F.lit(buckets))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
     return rows.select(bucket.alias("bucket"), F.col(key).alias("key"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
 
 
@@ -43,8 +42,8 @@ def permute(scattered: DataFrame, buckets: int, seed: int) -> DataFrame:
     Rows are sorted before they are permuted and buckets before the seeded
     permutations are drawn, so that a task that runs again draws the same.
     """
-    # dealt before they are grouped: no task holds rows of many buckets on the map side
-    gathered = scattered.repartition(-(-buckets // TASK), "bucket").groupBy("bucket").agg(F.collect_list(F.struct("key", F.xxhash64("row").alias("tie"), "row")).alias("rows")).sortWithinPartitions("bucket")
+    # a task for each bucket, dealt before rows are grouped: no map task holds rows of many buckets
+    gathered = scattered.repartitionById(buckets, F.col("bucket")).groupBy("bucket").agg(F.collect_list(F.struct("key", F.xxhash64("row").alias("tie"), "row")).alias("rows")).sortWithinPartitions("bucket")
     drawn = gathered.select("bucket", F.shuffle(F.transform(F.array_sort("rows"), lambda r: r["row"]), seed).alias("rows"))
     return drawn.select("bucket", F.posexplode("rows").alias("at", "row"))
 
