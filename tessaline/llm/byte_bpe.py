@@ -40,6 +40,12 @@ def rank_table(spec: dict) -> tuple[dict[bytes, int], dict[str, int]] | None:
     return ranks, special
 
 
+def merge_table(spec: dict) -> list[tuple[int, int, int]]:
+    """(left, right, joined) ids of every merge, in order."""
+    vocab, pairs = spec["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+    return [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+
+
 class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -49,6 +55,7 @@ class ByteBpe:
             import tiktoken
 
             ranks, special = found
+            self.ranks, self.merges = ranks, merge_table(spec)
             self.fast = tiktoken.Encoding("byte-level", pat_str=GPT2_PATTERN, mergeable_ranks=ranks, special_tokens=special)
             self.special = special
 

@@ -11,10 +11,16 @@ state it ends in (`state_maps`); the maps compose by a parallel prefix scan
 once.  All chunks of all texts of a slice advance in lock step, so nothing is
 done character by character in Python.
 
-Lexicon.  A pretoken leads from the start to an accepting state whose
-transition carries the number of tokens it emits.  The lexicon is compiled on
-demand: a pretoken's count is worked out by byte-pair merging when it is first
-met and kept in a bounded table for the worker's life.
+Lexicon.  The vocabulary is a transducer over bytes (`Lexicon`): an automaton
+that knows at every byte which tokens end there.  Of these exactly one is the
+last token of the merged text so far, the one whose neighbour to the left stays
+apart from it when the two are merged together (`apart`), so the transition on
+a byte leads to that token and emits the change in the number of tokens.  A
+pretoken begins in the lexicon's start state, as the scanner has found where it
+starts, so pretokens run independently of each other and their emissions add
+up.  New pretokens of a slice run through the automaton end to end; sums of
+pretokens met lately are kept in a bounded table for the worker's life.  Each
+worker holds its first text against the library.
 
 Special strings are split off first, as the library does, and count one each.
 Files that are not plain byte-level BPE are counted by the library itself.
@@ -38,7 +44,9 @@ from tessaline.llm.byte_bpe import ByteBpe, byte_bpe
 from tessaline.llm.common import Memo, batch, code_points, slices
 
 CHUNK = 64
-MEMO = 250_000
+MEMO = 400_000
+PAIRS = 1 << 20  # neighbours whose judgement is kept
+_PART = chr(256)  # stands between pretokens, in no byte
 
 CLASSES = SPACE, BLANK, LETTER, NUMBER, OTHER, QUOTE, S_END, R, V, L, E, BREAK = range(12)
 STATES = START, IN_L, IN_N, IN_O, SP1, WS1, WSP, WSW, AP, AP_R, AP_V, AP_L = range(12)
@@ -157,19 +165,75 @@ def pretoken_starts(classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(marks)
 
 
+class Lexicon:
+    """Emitted-token counts of pretokens, from the merges alone."""
+
+    def __init__(self, ranks: dict[bytes, int], merges: list[tuple[int, int, int]]):
+        import ahocorasick
+
+        self.joined = {(a, b): c for a, b, c in merges}
+        self.left, self.right = ({c: ab[k] for ab, c in self.joined.items()} for k in (0, 1))
+        self.known: dict[tuple[int, int], bool] = {}
+        self.automaton = ahocorasick.Automaton()
+        for piece, t in ranks.items():
+            if t not in self.left or self.apart(self.left[t], self.right[t], t):  # its own merges lead to it
+                self.automaton.add_word(piece.decode("latin-1"), (t, len(piece)))
+        self.automaton.make_automaton()
+
+    def apart(self, x: int, y: int, limit: int = 1 << 62) -> bool:
+        """Whether x and y, side by side, stay two tokens until the merge `limit`.
+
+        Merges are taken back from the last one on, those of x to its right end and those of y to its left end.  While
+        a pair of ends stood side by side no merge of the two may have been due: one earlier than the merge that was
+        taken back; at the same merge the one further left goes first.
+        """
+        while True:
+            if self.joined.get((x, y), limit) < limit:
+                return False
+            a, b = x if x in self.right else -1, y if y in self.left else -1
+            if a > b:
+                limit, x = a, self.right[x]
+            elif b >= 0:
+                limit, y = b + 1, self.left[y]
+            else:
+                return True
+
+    def emissions(self, pretokens: list[str]) -> tuple[list[int], list[int]]:
+        """Tokens after each byte of all pretokens, with a mark between them, and where each pretoken ends."""
+        parts = [w.encode("utf-8", "surrogatepass").decode("latin-1") for w in pretokens]
+        ends = np.cumsum([len(p) + 1 for p in parts]).tolist()
+        last, count = [-1] * (ends[-1] + 2 if ends else 1), [0] * (ends[-1] + 2 if ends else 1)
+        known, apart = self.known, self.apart
+        if len(known) > PAIRS:
+            known.clear()
+        for end, (t, n) in self.automaton.iter(_PART + _PART.join(parts) if parts else ""):
+            before = end + 1 - n
+            x = last[before]
+            if x >= 0:
+                ok = known.get((x, t))
+                if ok is None:
+                    ok = known[x, t] = apart(x, t)
+                if not ok:
+                    continue
+            last[end + 1], count[end + 1] = t, count[before] + 1
+        return count, ends
+
+    def counts(self, pretokens: list[str]) -> list[int]:
+        count, ends = self.emissions(pretokens)
+        return [count[e] for e in ends]
+
+
 class Counter:
     """Tokens of whole texts for one tokenizer file."""
 
     def __init__(self, path: str):
         self.bpe = byte_bpe(path)
-        self.lexicon = Memo(MEMO)
+        self.memo = Memo(MEMO)
+        self.lexicon = Lexicon(self.bpe.ranks, self.bpe.merges) if self.bpe.fast is not None else None
+        self.confirmed = False
         special = getattr(self.bpe, "special", {})
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
-    def emitted(self, word: str) -> int:
-        """Tokens of one pretoken, by byte-pair merging."""
-        return len(self.bpe.fast._core_bpe.encode_single_piece(word.encode("utf-8", "surrogatepass"))) if word else 0
-
     def plain(self, texts: list[str]) -> list[int]:
         """Counts of texts without special strings; texts are parted by a virtual BREAK."""
         points, offsets = code_points(texts)
@@ -184,7 +248,7 @@ class Counter:
         is_break = classes[starts] == BREAK
         for k in np.flatnonzero(is_break).tolist():
             words[k] = ""  # has no tokens
-        known = self.lexicon.of(set(words), lambda new: map(self.emitted, new))
+        known = self.memo.of(set(words), self.lexicon.counts)
         counts = [known[w] for w in words]
         total = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
         bounds = np.append(np.flatnonzero(is_break), len(words))
@@ -204,6 +268,13 @@ class Counter:
             owner += [i] * len(pieces)
         for i, n in zip(owner, self.plain(parts)):
             out[i] += n
+        if not self.confirmed:
+            for t, n in zip(texts, out):
+                if 0 < len(t) < 20_000:
+                    if len(self.bpe.slow(t)) != n:
+                        raise ValueError("the lexicon and the tokenizer file disagree")
+                    self.confirmed, self.bpe._library = True, None
+                    break
         return out
 
 
