@@ -75,7 +75,7 @@ def spec_of(kind: T.DataType) -> Spec:
 def quotient(df: DataFrame, a: str, b: str) -> Column:
     """a / b with the scale of a plus four, half away from zero in one rounding, null for a zero divisor."""
     sa, sb = (spec_of(df.select(F.expr(x).alias("x")).schema[0].dataType) for x in (a, b))
-    return F.expr(scalar.divide(a, b, sa.precision, sa.scale, sb.scale)).cast(T.DecimalType(NATIVE, sa.scale + EXTRA))
+    return F.expr(scalar.divide(a, b, sa.precision, sa.scale, sb.precision, sb.scale)).cast(T.DecimalType(NATIVE, sa.scale + EXTRA))
 
 
 def mean(column: str, scale: int = 0) -> Column:

@@ -44,7 +44,7 @@ def _integer(x: str, scale: int) -> str:
     return f"CAST(try_multiply(CAST({x} AS DECIMAL(38, {scale})), CAST({10**scale} AS DECIMAL({scale + 1}, 0))) AS DECIMAL(38, 0))"
 
 
-def divide(a: str, b: str, precision: int, scale: int, divisor_scale: int) -> str:
+def divide(a: str, b: str, precision: int, scale: int, divisor_precision: int, divisor_scale: int) -> str:
     """Exact quotient of decimals, with four more digits than the dividend's `scale`, half away from zero; null for a zero divisor.
 
     It is worked out in integers and rounded once: (2 |n| 10^k + |d|) less its remainder, over 2 |d|.  Where that
@@ -52,19 +52,27 @@ def divide(a: str, b: str, precision: int, scale: int, divisor_scale: int) -> st
     """
     out = scale + 4
     if len(a) + len(b) > LONG:  # named once instead of being spelt out again and again
-        return f"transform(array(named_struct('n', {a}, 'd', {b})), x -> {divide('x.n', 'x.d', precision, scale, divisor_scale)})[0]"
+        return f"transform(array(named_struct('n', {a}, 'd', {b})), x -> {divide('x.n', 'x.d', precision, scale, divisor_precision, divisor_scale)})[0]"
+    up, digits = 10 ** (4 + divisor_scale), min(38, precision + 4 + divisor_scale)
+    kind = f"DECIMAL({min(38, digits + 1)}, {out})" if digits + out + 2 <= 38 else f"DECIMAL(38, {out})"
+    sign = f"(CASE WHEN ({a} < 0) <> ({b} < 0) THEN -1 ELSE 1 END)"
+    # operands below these fit 64-bit integers all the way
+    n, d = f"abs(CAST(({a}) * {10**scale} AS BIGINT))", f"abs(CAST(({b}) * {10**divisor_scale} AS BIGINT))"
+    short = f"CAST(CAST({sign} * ((2 * {n} * {up} + {d}) DIV (2 * {d})) AS DECIMAL(19, 0)) * CAST('{10**-out:.{out}f}' AS DECIMAL({out + 1}, {out})) AS {kind})"
+    small = f"abs({a}) < {10 ** max(0, 14 - divisor_scale - scale)} AND abs({b}) < {10 ** max(0, 18 - divisor_scale)}"
     n, d = f"abs({_integer(a, scale)})", f"abs({_integer(b, divisor_scale)})"
-    up = 10 ** (4 + divisor_scale)
     x = f"try_add(try_multiply(try_multiply({n}, CAST({up} AS DECIMAL({len(str(up))}, 0))), CAST(2 AS DECIMAL(1, 0))), {d})"
     y = f"CAST(2 * {d} AS DECIMAL(38, 0))"
-    whole = f"CAST(try_divide(try_subtract({x}, try_mod({x}, {y})), {y}) AS DECIMAL(38, 0))"
-    digits = min(38, precision + 4 + divisor_scale)
+    whole = f"CAST({sign} * try_divide(try_subtract({x}, try_mod({x}, {y})), {y}) AS DECIMAL(38, 0))"
     # a product of q digits and the unit 10^-out is exact while both fit 38 digits; beyond, the point is moved in the text
-    quotient = f"CAST(CAST({whole} AS DECIMAL({digits}, 0)) * CAST('{10**-out:.{out}f}' AS DECIMAL({out + 1}, {out})) AS DECIMAL({min(38, digits + 1)}, {out}))" if digits + out + 2 <= 38 else f"try_cast(concat(CAST({whole} AS STRING), 'E-{out}') AS DECIMAL(38, {out}))"
-    signed_quotient = f"(CASE WHEN {b} <> 0 THEN CASE WHEN ({a} < 0) <> ({b} < 0) THEN -{quotient} ELSE {quotient} END END)"
-    if precision + 5 + divisor_scale <= 38:
-        return signed_quotient
-    return f"coalesce({signed_quotient}, CAST(round(try_divide(CAST({a} AS DECIMAL(38, {min(37, out + 6)})), {b}), {out}) AS DECIMAL(38, {out})))"
+    long = f"CAST(CAST({whole} AS DECIMAL({digits}, 0)) * CAST('{10**-out:.{out}f}' AS DECIMAL({out + 1}, {out})) AS {kind})" if digits + out + 2 <= 38 else f"try_cast(concat(CAST({whole} AS STRING), 'E-{out}') AS {kind})"
+    if precision + 5 + divisor_scale > 38:
+        long = f"coalesce({long}, CAST(round(try_divide(CAST({a} AS DECIMAL(38, {min(37, out + 6)})), {b}), {out}) AS {kind}))"
+    if precision <= 14 - divisor_scale and divisor_precision <= 18:
+        quotient = short
+    else:
+        quotient = f"CASE WHEN {small} THEN {short} ELSE {long} END" if 14 >= divisor_scale + scale else long
+    return f"(CASE WHEN {b} <> 0 THEN {quotient} END)"
 
 
 LONG = 400  # characters of operands from which on a let-binding is shorter
@@ -72,7 +80,7 @@ LONG = 400  # characters of operands from which on a let-binding is shorter
 
 def int_divide(a: str, b: str) -> str:
     """int / int is a decimal with four digits, half away from zero; null for a zero divisor."""
-    return divide(f"CAST({a} AS DECIMAL(19, 0))", f"CAST({b} AS DECIMAL(19, 0))", 19, 0, 0)
+    return divide(f"CAST({a} AS DECIMAL(19, 0))", f"CAST({b} AS DECIMAL(19, 0))", 19, 0, 19, 0)
 
 
 _NUMBER = r"^\\s*([+-]?(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"

@@ -9,8 +9,10 @@ Arithmetic.  An expression tree is typed by the rules of `narrow`, simplified
 (`simplify`) and compiled to one Arrow-batched function per output column; a
 tree that fits 38 digits at every node becomes native Columns instead.
 
-SUM splits a value into signed base-10^9 limbs once; the limbs are summed by
-Spark's own partial and final aggregation and carried once per group.
+SUM reads a value's bytes as base-2^32 digits by built-in functions; digits,
+each times a narrow factor where the summed expression is a product of a wide
+column and narrow ones, are summed by Spark's own partial and final aggregation
+and carried once per group.
 
 Null in, null out; a zero divisor gives null; a result beyond 288 digits raises
 OverflowError.
@@ -30,9 +32,6 @@ from pyspark.sql import types as T
 from tessaline.functions import narrow
 from tessaline.functions.narrow import MOST, NATIVE, Spec
 
-LIMB = 10**9
-
-
 # --- values -----------------------------------------------------------------
 
 
@@ -351,46 +350,66 @@ def to_text(column: Column, scale: int) -> Column:
     return F.pandas_udf(lambda raw: pd.Series([None if r is None else render(decode(r), scale) for r in raw], dtype=object), T.StringType())(column)
 
 
-def limbs(column: Column, precision: int) -> Column:
-    """Signed base-10^9 digits, least first."""
-    n = -(-precision // 9)
-
-    def run(raw: pd.Series) -> pd.Series:
-        out = []
-        for r in raw:
-            if r is None:
-                out.append(None)
-                continue
-            v = decode(r)
-            sign, v, parts = (-1 if v < 0 else 1), abs(v), []
-            for _ in range(n):
-                v, low = divmod(v, LIMB)
-                parts.append(sign * low)
-            out.append(parts)
-        return pd.Series(out, dtype=object)
-
-    return F.pandas_udf(run, T.ArrayType(T.LongType()))(column)
+def from_native(column: Column, scale: int, s: Spec) -> Column:
+    """A native decimal column of at most 18 digits, `scale` of them after the point, in the storage of `s`, by built-in functions.
 
-
-def wide_sums(df: DataFrame, keys: list[str], parts: dict[str, tuple[Column, Spec]], *others: Column) -> DataFrame:
-    """keys, an exact SUM per group (text; null without values) for each of `parts`, and further aggregates.
-
-    Limbs are summed by partial and final aggregation; good for 9 * 10^9 rows a group.
+    The unscaled number has to fit 64 bits at the scale of `s`; the bytes before it repeat its sign.
     """
-    split = df.select("*", *[limbs(c, s.precision).alias(f"__{name}") for name, (c, s) in parts.items()])
-    count = {name: -(-s.precision // 9) for name, (_, s) in parts.items()}
-    sums = split.groupBy(*keys).agg(*[F.sum(F.col(f"__{name}")[i]).alias(f"__{name}_{i}") for name, n in count.items() for i in range(n)], *others)
-
-    def carried(scale: int) -> Callable[[pd.Series], pd.Series]:
+    size, value = width(s.precision), (column * 10**scale).cast("bigint") * (10 ** (s.scale - scale))
+    if size < 9:
+        return from_text(column.cast("string"), s)
+    return F.unhex(F.concat(F.when(value < 0, "7F" + "FF" * (size - 9)).otherwise("80" + "00" * (size - 9)), F.lpad(F.hex(value), 16, "0")))
+
+
+def digits(column: Column, precision: int) -> list[Column]:
+    """Base-2^32 digits of the stored bytes, least first; the value is theirs less 2^(8 size - 1)."""
+    size = width(precision)
+    starts = range(size, 0, -4)
+    return [F.conv(F.hex(F.substring(column, max(1, end - 3), min(4, end))), 16, 10).cast("decimal(10,0)") for end in starts]
+
+
+def linear(e: Expr) -> tuple[Col, Expr] | None:
+    """(wide column, narrow factor) of a product of one wide column and factors that have nine digits at most together."""
+    e = simplify(e)
+    if isinstance(e, Col):
+        return e, Const(1, 0)
+    if not (isinstance(e, Nary) and e.op == "*"):
+        return None
+    wide = [x for x in e.args if isinstance(x, Col) and x.spec.precision > NATIVE]
+    rest = [x for x in e.args if x not in wide]
+    if len(wide) != 1 or not rest:
+        return None
+    factor = rest[0] if len(rest) == 1 else Nary("*", tuple(rest))
+    return (wide[0], factor) if fits(factor) and spec(factor).precision <= 9 else None
+
+
+def wide_sums(df: DataFrame, keys: list[str], parts: dict[str, Expr], *others: Column) -> DataFrame:
+    """keys, an exact SUM per group (text; null without values) of each of `parts`, and further aggregates.
+
+    An expression that is not `linear` is computed first.  Sums of digits are good for 10^19 rows a group.
+    """
+    forms: dict[str, tuple[Column, int, Column, int]] = {}  # stored column, its precision, unscaled factor, scale of the product
+    for name, e in parts.items():
+        if found := linear(e):
+            column, factor = found
+            forms[name] = F.col(column.name), column.spec.precision, (_native(factor) * 10 ** spec(factor).scale).cast("decimal(9,0)"), column.spec.scale + spec(factor).scale
+        else:
+            out = spec(e, narrow.roomy)
+            df = df.withColumn(f"__{name}", compute(e))
+            forms[name] = F.col(f"__{name}"), out.precision, F.lit(1).cast("decimal(9,0)"), out.scale
+    sums = {name: [F.sum((d * f).cast("decimal(19,0)")).alias(f"__{name}_{i}") for i, d in enumerate(digits(c, p))] + [F.sum(F.when(c.isNotNull(), f)).alias(f"__{name}_f")] for name, (c, p, f, _) in forms.items()}
+    found = df.groupBy(*keys).agg(*[c for cs in sums.values() for c in cs], *others)
+
+    def carried(bias: int, scale: int) -> Callable[[pd.Series], pd.Series]:
         def carry(groups: pd.Series) -> pd.Series:
-            return pd.Series([None if g is None or pd.isna(g[0]) else render(sum(int(v) * LIMB**i for i, v in enumerate(g)), scale) for g in groups], dtype=object)
+            return pd.Series([None if g is None or g[-1] is None else render(sum(int(v) << (32 * i) for i, v in enumerate(g[:-1])) - bias * int(g[-1]), scale) for g in groups], dtype=object)
 
         return carry
 
-    totals = [F.pandas_udf(carried(s.scale), T.StringType())(F.array(*[F.col(f"__{name}_{i}") for i in range(count[name])])).alias(name) for name, (_, s) in parts.items()]
-    return sums.select(*keys, *totals, *sums.columns[len(keys) + sum(count.values()) :])
+    totals = [F.pandas_udf(carried(1 << (8 * width(p) - 1), scale), T.StringType())(F.array(*[F.col(f"__{name}_{i}").cast("decimal(38,0)") for i in range(len(sums[name]) - 1)], F.col(f"__{name}_f").cast("decimal(38,0)"))).alias(name) for name, (_, p, _, scale) in forms.items()]
+    return found.select(*keys, *totals, *found.columns[len(keys) + sum(map(len, sums.values())) :])
 
 
 def wide_sum(df: DataFrame, keys: list[str], column: str, s: Spec, name: str) -> DataFrame:
     """keys, name (text): exact SUM per group."""
-    return wide_sums(df, keys, {name: (F.col(column), s)})
+    return wide_sums(df, keys, {name: Col(column, s)})

@@ -380,8 +380,7 @@ def W9_wide_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """5: the pricing summary with quantities and prices of 68 and 64 digits."""
     quantity, price, rate = Spec(68, 2), Spec(64, 2), Spec(3, 2)
     df = load(spark, sf_dir, "lineitem").where("l_shipdate <= DATE '1998-09-02'")
-    df = df.select("l_returnflag", "l_linestatus", wide.from_text(F.col("l_quantity").cast("string"), quantity).alias("qty"), wide.from_text(F.col("l_extendedprice").cast("string"), price).alias("price"), F.col("l_discount").cast("decimal(3,2)").alias("disc"), F.col("l_tax").cast("decimal(3,2)").alias("tax"))
+    df = df.select("l_returnflag", "l_linestatus", wide.from_native(F.col("l_quantity"), 2, quantity).alias("qty"), wide.from_native(F.col("l_extendedprice"), 2, price).alias("price"), F.col("l_discount").cast("decimal(3,2)").alias("disc"), F.col("l_tax").cast("decimal(3,2)").alias("tax"))
     p, d, t = Col("price", price), Col("disc", rate), Col("tax", rate)
-    disc, charge = p * (1 - d), p * (1 - d) * (1 + t)
-    parts = {"sum_qty": (F.col("qty"), quantity), "sum_base_price": (F.col("price"), price), "sum_disc_price": (wide.compute(disc), wide.spec(disc)), "sum_charge": (wide.compute(charge), wide.spec(charge))}
+    parts = {"sum_qty": Col("qty", quantity), "sum_base_price": p, "sum_disc_price": p * (1 - d), "sum_charge": p * (1 - d) * (1 + t)}
     return wide.wide_sums(df, ["l_returnflag", "l_linestatus"], parts, F.count(F.lit(1)).alias("count_order"))

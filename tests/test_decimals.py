@@ -1,5 +1,6 @@
 """Types, values and rewriting of decimals against integers."""
 
+from decimal import Decimal
 from fractions import Fraction
 
 import pytest
@@ -141,3 +142,15 @@ def test_sine_against_integers(spark, sf_dir):
             term = Fraction(rounded(power / factorial, 8 * k + 4), 10 ** (8 * k + 4))
             total += -term if n % 2 == 0 else term
         assert Fraction(text) == total
+
+
+def test_native_storage_and_sums_of_products(spark):
+    """Built-in encoding equals the parsed one, and sums of wide times narrow equal integers, nulls and signs included."""
+    values = [Decimal(x).scaleb(-2) for x in (0, 1, -1, 10**11, -(10**11), 999_999_999_999, -999_999_999_999)]
+    rows = [(i % 2, v, Decimal(i - 3).scaleb(-2)) for i, v in enumerate(values)] + [(0, None, Decimal(1)), (3, None, Decimal(2))]
+    s = Spec(64, 4)
+    df = spark.createDataFrame(rows, "g int, v decimal(12,2), f decimal(3,2)").withColumn("w", wide.from_native(F.col("v"), 2, s))
+    assert df.where(~F.col("w").eqNullSafe(wide.from_text(F.col("v").cast("string"), s))).count() == 0
+    got = {r["g"]: r["total"] for r in wide.wide_sums(df, ["g"], {"total": Col("w", s) * (1 - Col("f", Spec(3, 2)))}).collect()}
+    want = {g: sum((v * (1 - f) for h, v, f in rows if h == g and v is not None), Decimal(0)) for g in (0, 1)}
+    assert {g: None if t is None else Decimal(t) for g, t in got.items()} == {**want, 3: None}
