@@ -242,11 +242,15 @@ def chances(band: int, rows: int, home: list[tuple], guests: list[tuple], signat
 def met(mixed: DataFrame, threshold: float, rows: int, miss: float) -> DataFrame:
     """MET rows of the members whose signatures keep a chance with one that they meet: the visits that texts must repeat.
 
-    mixed: key, band, n, main, rep, comp, sig of all members of buckets with several components.
+    mixed: key, band, n, guests, main, rep, comp, sig of all members of buckets with several components, n and guests
+    being numbers of members in all and of those outside the main component.  A block holds about BLOCK residents and
+    as many guests at most: guests are dealt into parties, and each party visits every row of residents.
     """
-    dealt = mixed.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("guest", F.col("comp") != F.col("main"))
-    residents = dealt.select("key", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "band", "rep", "comp", "guest", "sig")
-    visitors = dealt.where("guest").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "band", "rep", "comp", "guest", "sig")
+    dealt = mixed.withColumn("rows", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("parties", F.ceil(F.col("guests") / BLOCK).cast("int")).withColumn("guest", F.col("comp") != F.col("main"))
+    row, party = F.pmod(F.xxhash64("rep"), "rows").cast("int"), F.pmod(F.xxhash64(F.lit(1), "rep"), "parties").cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    residents = dealt.withColumn("other", each("parties")).select("key", (row * F.col("parties") + F.col("other")).alias("block"), F.lit(0).alias("kind"), "band", "rep", "comp", "guest", "sig")
+    visitors = dealt.where("guest").withColumn("other", each("rows")).select("key", (F.col("other") * F.col("parties") + party).alias("block"), F.lit(1).alias("kind"), "band", "rep", "comp", "guest", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = lambda members: np.stack([np.frombuffer(m[3], np.uint32) for m in members])
@@ -311,9 +315,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, miss: f
     likely = cut(plausible(star, reps, threshold, miss).distinct())
     first = cut(connected_components(verified(likely, texts, width, per_cent), "a", "b"))
     placed = stored(shared.where("n > 2").join(first, shared["rep"] == first["node"], "left").select("key", "band", "n", "head", "rep", F.coalesce("component", "rep").alias("comp")))
-    several = placed.groupBy("key").agg(F.first("n").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("rep") == F.col("head"), F.col("comp"))).alias("main"))
-    mixed = spread_join(placed, stored(several.where("low < high").select("key", "main", "members")), ["key"], "members").where("main IS NOT NULL")
-    mixed = mixed.join(reps, "rep").select("key", "band", "n", "main", "rep", "comp", "sig")
+    parts = placed.groupBy("key", "comp").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("own"), F.max(F.col("rep") == F.col("head")).alias("with_head"))
+    several = parts.groupBy("key").agg(F.first("n").alias("members"), F.count(F.lit(1)).alias("comps"), F.min(F.when(F.col("with_head"), F.col("comp"))).alias("main"), (F.first("n") - F.max(F.when(F.col("with_head"), F.col("own")))).alias("guests"))
+    mixed = spread_join(placed, stored(several.where("comps > 1").select("key", "main", "guests", "members")), ["key"], "members").where("main IS NOT NULL")
+    mixed = mixed.join(reps, "rep").select("key", "band", "n", "guests", "main", "rep", "comp", "sig")
     second = connected_components(second_look(mixed, texts, width, per_cent, bands, rows, miss), "a", "b").select(F.col("node").alias("was"), F.col("component").alias("now"))
     known = first.join(second, first["component"] == second["was"], "left").select("node", F.coalesce("now", "component").alias("component"))
     extra = second.join(first, first["node"] == second["was"], "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
