@@ -7,7 +7,9 @@ recomputes another's work and survives lost executors.
 
 Every stage takes nulls in any column, empty and very long texts, repeated rows
 and empty tables, and ignores further columns:
-- language: null texts and texts without a letter have no language and go;
+- language: texts in no learned language go: null texts, texts without a letter,
+  and texts that every language's model codes in over 16 bits a byte (twice the
+  uniform code); with no labelled document only those without a letter go;
 - toxicity: texts scored 0.5 or more go, the rest stays as it is;
 - lines: a line of ten characters or more that several documents hold stays in
   the smallest doc_id only; texts may become empty but no row goes; n_chars

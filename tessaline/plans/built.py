@@ -234,6 +234,25 @@ def S9_sql_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialect.sql(spark, f"SELECT k, name, share FROM {name}")
 
 
+@query("SELECT o_orderstatus, count(*) AS n, count(*) AS ids FROM orders GROUP BY o_orderstatus")
+def S12_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row-id pseudo column of a versioned table; two readings agree on it."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    table = SnapshotTable.create(spark, scratch(spark), orders.schema)
+    table.insert(orders)
+    again = table.read(row_id="row_id").select("row_id", F.col("o_orderkey").alias("same"))
+    met = table.read(row_id="row_id").join(again, "row_id").where("o_orderkey = same")
+    return met.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("ids"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def S15_data_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CACHE TABLE keeps a table's columns on the executors, in memory first, then on disk."""
+    load(spark, sf_dir, "orders").select("o_orderstatus").createOrReplaceTempView("kept_orders")
+    dialect.sql(spark, "CACHE LAZY TABLE kept_orders OPTIONS ('storageLevel' 'MEMORY_AND_DISK')")
+    return dialect.sql(spark, "SELECT o_orderstatus, count(*) AS n FROM kept_orders GROUP BY o_orderstatus")
+
+
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def S4_sql_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LOAD DATA INFILE as a statement, into a table with a key."""

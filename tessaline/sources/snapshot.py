@@ -57,9 +57,10 @@ class SnapshotTable:
         finally:
             file.close()
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The current or an earlier version."""
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self._folder(version or self.version())}")
+    def read(self, version: int | None = None, row_id: str | None = None) -> DataFrame:
+        """The current or an earlier version; with `row_id` a column of that name tells a row's file and place, the same in each reading of a version."""
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/{self._folder(version or self.version())}")
+        return rows if row_id is None else rows.select("*", F.concat_ws(":", "_metadata.file_name", "_metadata.row_index").alias(row_id))
 
     def _publish(self, df: DataFrame, base: int) -> int:
         """Write rows as the step after `base`."""
