@@ -55,3 +55,11 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = op10_line_dedup(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_documents_of_many_shared_lines(spark):
+    """Reassembly is by place: thousands of lost lines in one document."""
+    shared = [f"shared line number {i}" for i in range(6000)]
+    df = cases.docs(spark, ["\n".join(shared), "\n".join(["own line at the start", *shared, "own line at the end"])], repeat=False)
+    got = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in dedup_lines(df).collect()}
+    assert got[1] == (0, "\n".join(shared)) and got[2] == (6000, "own line at the start\nown line at the end")

@@ -51,6 +51,11 @@ def test_files_hold_their_shard(spark, tmp_path):
     write_shards(df, str(tmp_path / "out"), "doc_id", F.lit(10), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {(r["shard"], r["count"]) for r in back.groupBy("shard").count().collect()} == {(i, 25) for i in range(4)}
+    assert {(r["doc_id"], r["text"]) for r in back.collect()} == {(i + 1, f"text {i}") for i in range(100)}
+    for shard in range(4):  # slots rise along the files of a folder and within each
+        files = sorted((tmp_path / "out" / f"shard={shard}").glob("*.parquet"))
+        slots = [r["slot"] for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert slots == list(range(25))
 
 
 def test_no_python_in_the_plan(spark, sf_dir):
