@@ -36,16 +36,19 @@ def scatter(rows: DataFrame, key: str, buckets: int, seed: int) -> DataFrame:
     return rows.select(bucket.alias("bucket"), F.col(key).alias("key"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
 
 
-def permute(scattered: DataFrame, buckets: int, seed: int) -> DataFrame:
-    """Pass 2: Fisher-Yates within each bucket; columns bucket, row, at (from 0).
+def permute(scattered: DataFrame, starts: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """Pass 2: Fisher-Yates within each bucket; columns row, pos (the bucket's start plus the place in it), total.
 
-    Rows are sorted before they are permuted and buckets before the seeded
-    permutations are drawn, so that a task that runs again draws the same.
+    Rows are sorted before they are permuted, so that a task that runs again draws the same.  A bucket's start travels
+    to it as a row of its own: records move once, and no join meets them.
     """
+    marks = starts.select(F.col("own").alias("bucket"), F.lit(None).cast(scattered.schema["key"].dataType).alias("key"), F.lit(None).cast(scattered.schema["row"].dataType).alias("row"), "start", "total")
+    both = scattered.select("bucket", "key", "row", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("total")).union(marks)
+    entry = F.when(F.col("row").isNotNull(), F.struct("key", F.xxhash64("row").alias("tie"), "row"))
     # a task for each bucket, dealt before rows are grouped: no map task holds rows of many buckets
-    gathered = scattered.repartitionById(buckets, F.col("bucket")).groupBy("bucket").agg(F.collect_list(F.struct("key", F.xxhash64("row").alias("tie"), "row")).alias("rows")).sortWithinPartitions("bucket")
-    drawn = gathered.select("bucket", F.shuffle(F.transform(F.array_sort("rows"), lambda r: r["row"]), seed).alias("rows"))
-    return drawn.select("bucket", F.posexplode("rows").alias("at", "row"))
+    gathered = both.repartitionById(buckets, F.col("bucket")).groupBy("bucket").agg(F.collect_list(entry).alias("rows"), F.max("start").alias("start"), F.max("total").alias("total")).sortWithinPartitions("bucket")
+    drawn = gathered.select("start", "total", F.shuffle(F.transform(F.array_sort("rows"), lambda r: r["row"]), seed).alias("rows"))
+    return drawn.select("start", "total", F.posexplode("rows").alias("at", "row")).select("row", (F.col("start") + F.col("at")).alias("pos"), "total")
 
 
 def bucket_starts(counts: DataFrame) -> DataFrame:
@@ -63,8 +66,7 @@ def shuffle_shards(rows: DataFrame, key: str, size: Column, shards: int = 16, se
     buckets = bucket_count(rows, bucket_bytes, size)
     scattered = scatter(rows, key, buckets, seed)
     starts = bucket_starts(scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
-    placed = permute(scattered, buckets, seed).join(starts, F.col("bucket") == F.col("own")).select("row", (F.col("start") + F.col("at")).alias("pos"), "total")
-    numbered = placed.withColumn("nth", F.expr(f"({shards} * (pos + 1) + total - 1) DIV total - 1"))
+    numbered = permute(scattered, starts, buckets, seed).withColumn("nth", F.expr(f"({shards} * (pos + 1) + total - 1) DIV total - 1"))
     own = [F.col(f"row.`{c}`") for c in rows.columns if c.lower() not in ("shard", "slot")]
     return numbered.select(*own, F.col("nth").cast("int").alias("shard"), F.expr(f"pos - nth * total DIV {shards}").cast("long").alias("slot"))
 
