@@ -379,7 +379,7 @@ def _sine(x: Col, terms: int):
 
 @query("""SELECT o_orderkey, CAST(CAST(x * CAST(1000000000000 AS HUGEINT) - (2 * x * x * x * 10000 + 6) // 12 * 10000 + (2 * x * x * x * x * x * 10000 + 120) // 240 AS DECIMAL(24, 0)) * CAST('0.00000000000001' AS DECIMAL(15, 14)) AS VARCHAR) AS sine
   FROM (SELECT o_orderkey, CAST(o_orderkey % 157 AS HUGEINT) AS x FROM orders) t""")
-def W8_sine_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+def W10_sine_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """5: three terms of the sine series at 2 digits."""
     df = load(spark, sf_dir, "orders").select("o_orderkey", F.expr("CAST((o_orderkey % 157) / 100.0 AS DECIMAL(3, 2))").alias("x"))
     return df.select("o_orderkey", wide.compute_text(_sine(Col("x", Spec(3, 2)), 3)).alias("sine"))

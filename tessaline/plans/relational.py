@@ -265,3 +265,31 @@ SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS INT) AS rn, CAST(rank(
        lag(o_totalprice) OVER w AS before, CAST(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DECIMAL(38, 2)) AS last_three
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
 q("X_cte", "2.11 (extension): WITH", "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 400000), per AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey) SELECT n, count(*) AS customers FROM per GROUP BY n")
+
+# --- combinations -------------------------------------------------------------------------------------------------
+
+q("C1_empty_right_aggregate", "J4 A2: aggregates over the empty side of an outer join", """
+SELECT c_nationkey, count(*) AS n, count(o_orderkey) AS placed, max(o_orderdate) AS last, CAST(sum(o_totalprice) AS DECIMAL(38, 2)) AS total
+FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_custkey = 123456789) o ON c_custkey = o_custkey GROUP BY c_nationkey""")
+q("C2_residual_on_kept_side", "J9: a residual on the kept side of an outer join drops matches, not rows", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND c_acctbal > 9000 AND o_orderstatus = 'F'")
+q("C3_row_in_subquery", "P14: several columns IN a subquery", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_partkey, l_suppkey) IN (SELECT l_partkey, l_suppkey FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(*) > 1)")
+q("C4_subquery_in_case", "P19 P26: a scalar subquery inside CASE", "SELECT s_suppkey, CASE WHEN s_acctbal > (SELECT sum(s_acctbal) / count(*) FROM supplier) THEN 'above' ELSE 'below' END AS side FROM supplier")
+q("C5_nested_derived", "J15: derived tables three deep", """
+SELECT band, count(*) AS n FROM (SELECT k, CASE WHEN n > 10 THEN 'many' ELSE 'few' END AS band FROM (SELECT o_custkey AS k, count(*) AS n FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') a GROUP BY o_custkey) b) c GROUP BY band""")
+q("C6_join_of_aggregates", "J1 A1: two grouped tables joined", """
+SELECT a.k AS k, a.n AS placed, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_nationkey) a
+JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY s_nationkey) b ON a.k = b.k""")
+q("C7_union_in_derived", "U1 A1: grouping over a union with constants", "SELECT side, k, count(*) AS n FROM (SELECT 'buys' AS side, c_nationkey AS k FROM customer UNION ALL SELECT 'sells', s_nationkey FROM supplier) t GROUP BY side, k")
+q("C8_case_as_key", "A1 P19: CASE as a grouping key", "SELECT CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'middle' ELSE 'large' END AS band, count(*) AS n, CAST(sum(l_extendedprice) AS DECIMAL(38, 2)) AS total FROM lineitem GROUP BY CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'middle' ELSE 'large' END")
+q("C9_semi_and_anti", "J6 J7: EXISTS and NOT IN side by side", """
+SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)
+  AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9500)""")
+q("C10_text_in_other_scripts", "P16: LIKE on characters of several bytes", """
+SELECT a, a LIKE '_é%' AS second, a LIKE '%界' AS last, a LIKE '____' AS four, substring(a, 2, 2) AS middle FROM (VALUES ('héro'), ('世界'), ('éé'), (NULL), ('naïf')) AS t(a)""")
+q("C11_correlated_count", "P27 A3: a correlated count, nought included", "SELECT n_nationkey, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000) AS rich FROM nation")
+q("C12_exists_with_or", "P9 P15: EXISTS or a plain condition", "SELECT p_partkey FROM part WHERE p_size > 48 OR EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 50 AND l_discount > 0.09)")
+q("C13_full_of_three", "J5: a full join of a full join", """
+SELECT coalesce(a.k, b.k, c.k) AS k, a.n AS an, b.n AS bn, c.n AS cn FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey < 10 GROUP BY c_nationkey) a
+FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_nationkey > 5 GROUP BY s_nationkey) b ON a.k = b.k
+FULL JOIN (SELECT n_nationkey AS k, n_regionkey AS n FROM nation) c ON coalesce(a.k, b.k) = c.k""")
+q("C14_distinct_and_plain", "A8 A10: DISTINCT and plain aggregates with HAVING on a distinct one", "SELECT l_suppkey, count(*) AS n, count(DISTINCT l_partkey) AS parts, min(l_shipdate) AS first_day FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_returnflag) = 3")
