@@ -37,7 +37,7 @@ from tessaline.llm.common import Memo, batch, slices
 from tessaline.llm.ngrams import KeyIndex
 
 MARK = "▁"
-MEMO = 400_000
+MEMO = 1_000_000
 CHARS = 1 << 22  # of the texts that are split and looked up at once: the more, the fewer lookups of a word
 CHECK_EVERY = 16
 SHORT = 48  # code points of a word whose agenda is run with others of its length
