@@ -44,7 +44,7 @@ from tessaline.llm.byte_bpe import ByteBpe, byte_bpe
 from tessaline.llm.common import Memo, batch, code_points, slices
 
 CHUNK = 64
-MEMO = 400_000
+MEMO = 1_000_000
 PAIRS = 1 << 20  # neighbours whose judgement is kept
 _PART = chr(256)  # stands between pretokens, in no byte
 
