@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 1 << 20
 #: The same for scanners that keep several numbers for each byte.
 MODEL_CHARS = 1 << 18
+#: Bytes of an Arrow batch of texts, of one row at least; Spark's own default holds eight times as many at both ends.
+BATCH_BYTES = 8 << 20
 #: Bounds of `Memo`.
 MEMO_CHARS, LONG_WORD = 8 << 20, 256
 #: A key with more than 1 / HOT of all rows is hot; there are fewer than HOT of them, whatever the data.
@@ -45,6 +47,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessaline-checkpoint-"))
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose session hands Python batches of BATCH_BYTES from now on, where it still had Spark's default."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, "67108864b") in ("67108864b", "67108864", "64m", "64MB"):
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and drop its lineage; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import MODEL_CHARS, batch, slices, tidy
+from tessaline.llm.common import MODEL_CHARS, batch, bound_batches, slices, tidy
 from tessaline.llm.ngrams import KeyIndex, grams, padded_bytes
 
 ORDER = 4
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: Ppm, folds: int = 3, fold: int = 1) -> DataF
                 n = len(texts)
                 yield batch(PREDICTED, [b.column(0).slice(first, n), b.column(1).slice(first, n), *map(list, zip(*shared.value.predict(texts)))])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
+    return bound_batches(docs).select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, folds: int = 3, fold: int = 1, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
@@ -184,4 +184,4 @@ def keep_identified(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, most_bits
             if keep.any():
                 yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return bound_batches(docs).mapInArrow(tidy(run), docs.schema)

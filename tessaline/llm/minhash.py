@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import batch, cut, spread_join, stored, tidy
+from tessaline.llm.common import batch, bound_batches, cut, spread_join, stored, tidy
 from tessaline.llm.components import connected_components, local_roots
 
 MISS = 1e-6
@@ -147,7 +147,7 @@ def signed(docs: DataFrame, width: int, k: int) -> DataFrame:
                 sigs.append(signature(s, k).tobytes() if len(s) else None)
             yield batch(SIGNED, [b.column(0), n, h1, h2, sigs])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    return bound_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaline.llm.byte_bpe import byte_bpe
-from tessaline.llm.common import batch, cut, tidy
+from tessaline.llm.common import batch, bound_batches, cut, tidy
 
 CAPACITY = 1024
 
@@ -207,7 +207,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
             if rows:
                 yield batch(PIECES, list(zip(*rows)))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), PIECES_DDL)
+    return bound_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), PIECES_DDL)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:

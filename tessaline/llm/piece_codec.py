@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import Memo, batch, slices
+from tessaline.llm.common import Memo, batch, bound_batches, slices
 from tessaline.llm.ngrams import KeyIndex
 
 MARK = "▁"
@@ -213,7 +213,7 @@ def encode_pieces(docs: DataFrame, model: str, end: bool = True) -> DataFrame:
                 ids, _, decoded = zip(*coded(texts, model, end))
                 yield batch(CODED, [b.column(0).slice(first, len(texts)), list(ids), list(decoded)])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return bound_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def piece_digests(docs: DataFrame, model: str) -> DataFrame:
@@ -228,4 +228,4 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
                 rows = [(len(i), sha(said), sha(back)) for i, said, back in coded(texts, model, True)]
                 yield batch(DIGESTS, [b.column(0).slice(first, len(texts)), *map(list, zip(*rows))])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bound_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

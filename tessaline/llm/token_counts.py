@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaline.llm.byte_bpe import ByteBpe, byte_bpe
-from tessaline.llm.common import Memo, batch, code_points, slices
+from tessaline.llm.common import Memo, batch, bound_batches, code_points, slices
 
 CHUNK = 64
 MEMO = 1_000_000
@@ -297,4 +297,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
                 n = np.array(count(texts), np.int64)
                 yield batch(COUNTS, [b.column(0).slice(first, len(texts)), sizes[first : first + len(texts)], n, n > limit])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return bound_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

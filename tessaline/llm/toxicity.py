@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import MODEL_CHARS, Memo, batch, cut, slices, tidy
+from tessaline.llm.common import MODEL_CHARS, Memo, batch, bound_batches, cut, slices, tidy
 from tessaline.llm.language_id import held_out
 from tessaline.llm.ngrams import KeyIndex, grams, padded_bytes
 
@@ -203,7 +203,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         if seen:
             yield batch(COUNTED, [[k[0] for k in seen], [k[1] for k in seen], list(seen.values())])
 
-    return rows.select("text", "toxic", "fold").mapInArrow(tidy(run), "word string, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n"))
+    return bound_batches(rows).select("text", "toxic", "fold").mapInArrow(tidy(run), "word string, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Scorer:
@@ -249,7 +249,7 @@ def score(docs: DataFrame, scorer: Scorer, folds: int = 5, fold: int = 0) -> Dat
                 n, got = len(texts), shared.value.score(texts)
                 yield batch(SCORED, [b.column(0).slice(first, n), b.column(1).slice(first, n), got, (got >= 0.5).astype(np.int32)])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
+    return bound_batches(docs).select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def detect(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, **bounds: int) -> DataFrame:
@@ -268,4 +268,4 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFram
             if keep.any():
                 yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return bound_batches(docs).mapInArrow(tidy(run), docs.schema)
