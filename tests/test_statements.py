@@ -43,6 +43,7 @@ def test_arithmetic_by_types(spark):
     assert one(spark, f"SELECT AVG(x) OVER (PARTITION BY 1), x IN (SELECT x % 2 + 1 FROM {rows}), (SELECT MAX(x) / 3 FROM {rows}) FROM {rows}")[2] == D("0.6667")
     assert one(spark, f"SELECT x = '1x', '0.5 or so' < x, x <> 'none' FROM {rows}") == (True, True, True)
     assert one(spark, "SELECT CAST('abc' AS DECIMAL(5, 2)), CAST(' -1.256x' AS DECIMAL(5, 2)), CAST('bad' AS DATE), CAST(12.7 AS SIGNED)") == (D("0.00"), D("-1.26"), None, 12)
+    assert one(spark, f"SELECT FIRST(x) / 2, 3 / .5, t.x / 4 AS q, COUNT(*) / 2 FROM {rows} GROUP BY t.x ORDER BY q NULLS FIRST LIMIT 1") == (D("0.5000"), D("6.0000"), D("0.2500"), D("0.5000"))
     assert one(spark, "SELECT TIMEDIFF('2024-03-03', '2024-03-02') < 480000, 240000 = TIMEDIFF('2024-03-03', '2024-03-02')") == (True, True)
 
 
